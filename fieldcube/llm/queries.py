@@ -21,7 +21,7 @@ QUERIES = {
 ORACLES = {
     "op2_quality": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
-w AS (SELECT doc_id, t, host, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM d),
+w AS (SELECT doc_id, t, host, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM h, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY doc_id),
@@ -30,7 +30,7 @@ ln AS (SELECT doc_id, host, line, trim(regexp_replace(regexp_replace(lower(line)
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY doc_id),
 hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
 often AS (SELECT host, norm FROM ln JOIN hosts USING (host) GROUP BY host, norm, n HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) > 0.1 * n),
-rem AS (SELECT doc_id, sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), x -> x <> ''))) AS removed FROM ln JOIN often USING (host, norm) GROUP BY doc_id),
+rem AS (SELECT doc_id, sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS removed FROM ln JOIN often USING (host, norm) GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS removed_words
