@@ -51,12 +51,12 @@ def interleave(
     total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     ties = [F.col("h"), F.col("id"), F.col("size"), F.col("text_crc32")]
     # Hash ranges as equal parts of the signed 64-bit range.
-    ranges = max(1, -(-most // rows_per_bucket))
+    ranges = max(64, -(-most // rows_per_bucket))
     bucket = F.floor((F.shiftright("h", 11) + F.lit(1 << 52)) * float(ranges) / float(1 << 53))
     ranked = _ranked(rows.withColumn("range", bucket), ["stratum"], "range", ties, "rank").drop("range")
     ranked = ranked.join(sizes, "stratum")
     frac = (2 * F.col("rank") + 1).cast("double") / (2 * F.col("n")).cast("double")
-    cuts = max(1, -(-total // rows_per_bucket))
+    cuts = max(64, -(-total // rows_per_bucket))
     ranked = ranked.withColumn("frac", frac).withColumn("cut", F.least(F.lit(cuts - 1), F.floor(F.col("frac") * float(cuts))).cast("long"))
     ranked = ranked.withColumn("all", F.lit(0))
     order = [F.col("frac"), F.col("stratum"), *ties]
