@@ -90,16 +90,17 @@ def _struct(**kinds) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
-def common_shingles(df: DataFrame, id_col: str, text_col: str, sample: int = 10_000, most: int = 100_000) -> np.ndarray:
+def common_shingles(df: DataFrame, id_col: str, text_col: str, sample: int = 40_000, most: int = 300_000) -> np.ndarray:
     """At most ``most`` shingles that several documents of a bounded sample have, the commonest last.
 
-    They only order the shingles (common ones last), so any choice gives the same links.
+    They only order the shingles (common ones last), so any choice gives the same
+    links.  Without them prefixes hold the smallest hashes, so only those are counted.
     """
     rows = sample_rows(df.where(F.col(f"`{id_col}`").isNotNull()), id_col, sample)
 
     def make():
         s = Shingles()
-        return lambda ids, texts: {"s": [s.of(t).view(np.int64) for t in texts]}
+        return lambda ids, texts: {"s": [x[: 5 + prefix_size(len(x)) * 5 // 4].view(np.int64) for x in map(s.of, texts)]}
 
     each = _scan(rows, id_col, text_col, _struct(s=T.ArrayType(T.LongType())), make)
     by = each.select(F.explode("s").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n >= 3")
@@ -108,7 +109,7 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str, sample: int = 10_
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, common: np.ndarray) -> DataFrame:
-    """(id, n, class, prefix): set size, a 128-bit hash of the set, and its rarest shingles."""
+    """(id, n, class, bits, prefix): set size, a 128-bit hash of the set, its bitmap signature, and its rarest shingles."""
     shared = df.sparkSession.sparkContext.broadcast(common)
 
     def make():
@@ -117,21 +118,22 @@ def sketches(df: DataFrame, id_col: str, text_col: str, common: np.ndarray) -> D
         known = common[order]
 
         def run(ids, texts):
-            n, classes, prefixes = [], [], []
+            n, classes, bits, prefixes = [], [], [], []
             for t in texts:
                 x = s.of(t)
                 n.append(len(x))
                 classes.append(xxhash.xxh128_digest(x.tobytes()))
+                bits.append(bitmap(x))
                 if len(known) and len(x):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     rank = np.where(known[at] == x, order[at] + 1, 0)
                     x = x[np.argsort(rank, kind="stable")]
                 prefixes.append(x[: prefix_size(len(x))].view(np.int64))
-            return {"id": ids, "n": n, "class": classes, "prefix": prefixes}
+            return {"id": ids, "n": n, "class": classes, "bits": bits, "prefix": prefixes}
 
         return run
 
-    return _scan(df, id_col, text_col, _struct(id=T.LongType(), n=T.LongType(), **{"class": T.BinaryType()}, prefix=T.ArrayType(T.LongType())), make)
+    return _scan(df, id_col, text_col, _struct(id=T.LongType(), n=T.LongType(), **{"class": T.BinaryType()}, bits=T.BinaryType(), prefix=T.ArrayType(T.LongType())), make)
 
 
 def tiles(reps: DataFrame) -> DataFrame:
@@ -188,12 +190,12 @@ def membership_bits(ids: DataFrame, most: int = 1 << 28) -> np.ndarray:
 
 
 def sets_of(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
-    """(doc, n, bits, set) of the documents with these ids, and by chance of a few others."""
+    """(doc, set) of the documents with these ids, and by chance of a few others."""
     bits = membership_bits(ids)
     shared, size = df.sparkSession.sparkContext.broadcast(bits), len(bits) * 8
     at = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long")), F.lit(size))
     src = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), at.alias("at"))
-    schema = _struct(doc=T.LongType(), n=T.LongType(), bits=T.BinaryType(), set=T.BinaryType())
+    schema = _struct(doc=T.LongType(), set=T.BinaryType())
 
     def run(batches):
         s, bits = Shingles(), shared.value
@@ -203,20 +205,19 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFr
             for k in range(0, len(keep), 512):
                 part = batch.take(pa.array(keep[k : k + 512]))
                 got = [s.of(t) for t in part.column(1).to_pylist()]
-                cols = [part.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([bitmap(x) for x in got], pa.binary()), pa.array([x.tobytes() for x in got], pa.binary())]
+                cols = [part.column(0), pa.array([x.tobytes() for x in got], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return src.where(F.col("id").isNotNull()).mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: first by a bound from the bitmaps, then by exact intersection.
+def possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) that a bound from the signatures (doc, n, bits) lets through.
 
     A bit that only one set has stands for at least one shingle that the other
     lacks, so the overlap is at most the set's size less the number of such bits.
     """
-    small = sets.select("doc", "n", "bits")
-    pairs = pairs.join(small.toDF("a", "n_a", "bits_a"), "a").join(small.toDF("b", "n_b", "bits_b"), "b")
+    pairs = pairs.join(signatures.toDF("a", "n_a", "bits_a"), "a").join(signatures.toDF("b", "n_b", "bits_b"), "b")
     schema = _struct(a=T.LongType(), b=T.LongType())
 
     def bounded(batches):
@@ -229,9 +230,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array(np.flatnonzero(WHOLE * most >= PART * (n[0] + n[1] - most)))
             yield pa.RecordBatch.from_arrays([x.column("a").take(keep), x.column("b").take(keep)], names=["a", "b"])
 
-    near = pairs.mapInArrow(bounded, schema).dropDuplicates()
-    whole = sets.select("doc", "set")
-    near = near.join(whole.toDF("b", "set_b"), "b").join(whole.toDF("a", "set_a"), "a")
+    return pairs.mapInArrow(bounded, schema).dropDuplicates()
+
+
+def verified(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by the exact intersection of their sorted sets."""
+    schema = _struct(a=T.LongType(), b=T.LongType())
+    near = near.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
 
     def exact(batches):
         for x in batches:
@@ -312,14 +317,20 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = materialize(classes, "classes")
     reps = rows.join(classes.select("class", F.col("rep").alias("id")), ["class", "id"], "left_semi")
     met = materialize(tiles(reps), "tiles")
-    sets = materialize(sets_of(df, id_col, text_col, met.select("doc").distinct()), "sets")
+    signatures = rows.where("id is not null").select(F.col("id").alias("doc"), "n", "bits")
+
+    def link(pairs: DataFrame, label: str) -> DataFrame:
+        near = materialize(possible(pairs, signatures), f"{label}-near")
+        docs = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        sets = materialize(sets_of(df, id_col, text_col, docs), f"{label}-sets")
+        return materialize(verified(near, sets), f"{label}-links")
+
     star = met.where((F.col("doc") != F.col("lead")) & (WHOLE * F.least("n", "lead_n") >= PART * F.greatest("n", "lead_n")))
-    star = star.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    links = materialize(verified(star, sets), "links")
+    links = link(star.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "star")
     found = connected(links, "first")
     pairs = materialize(across(met, found), "pairs")
     if pairs.limit(1).count():
-        more = materialize(verified(pairs, sets), "more-links")
+        more = link(pairs, "more")
         if more.limit(1).count():
             found = connected(links.union(more), "all")
     named = classes.join(found.withColumnRenamed("doc", "rep"), "rep", "left")
