@@ -107,7 +107,7 @@ def identify(df: DataFrame, model: BackoffModel, text_col: str = "text", keep: l
             langs, scores = [], []
             for text in texts:
                 counts = Counter(LETTERS.findall(text.lower())) if text and m.langs else None
-                if not counts:
+                if not counts or not any(c.isalpha() for w in counts for c in w):
                     langs.append(UND)
                     scores.append(0.0)
                     continue

@@ -88,7 +88,7 @@ def _repeat_words_long(words: Column) -> Column:
 
 def normalized(line: Column) -> Column:
     """A line in lower case, its digits as 0, its white space as single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]+", "0"), SPACE, " "))
 
 
 def line_hashes(text: Column) -> Column:

@@ -26,7 +26,7 @@ g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws)
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM h, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d),
-ln AS (SELECT doc_id, host, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '\s+', ' ', 'g')) AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ln AS (SELECT doc_id, host, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY doc_id),
 hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
 often AS (SELECT host, norm FROM ln JOIN hosts USING (host) GROUP BY host, norm, n HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) > 0.1 * n),
