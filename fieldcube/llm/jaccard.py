@@ -140,23 +140,35 @@ def tiles(reps: DataFrame) -> DataFrame:
     """(tile, doc, n, lead, lead_n): documents that share a prefix shingle and lie in one run of comparable sizes.
 
     Runs with the same members are one tile; a run of one document is none.  lead:
-    the smallest id of the run.
+    the smallest id of the run.  A shingle at place p of a set of n, the first that
+    it shares with another, leaves an overlap of n - p at most; rows for which that
+    is too little, even with the smallest set that could link, go.
     """
-    rows = reps.select(F.explode("prefix").alias("s"), F.col("id").alias("doc"), "n")
-    rows = rows.repartition("s")
+    rows = reps.select(F.posexplode("prefix").alias("pos", "s"), F.col("id").alias("doc"), "n")
+    rows = rows.select("s", "doc", "n", (F.col("n") - F.col("pos")).alias("left")).repartition("s")
     schema = _struct(tile=T.LongType(), doc=T.LongType(), n=T.LongType(), lead=T.LongType(), lead_n=T.LongType())
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        s, doc, n = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
+        s, doc, n, left = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(4))
         del got
         order = np.lexsort((doc, n, s))
-        s, doc, n = s[order], doc[order], n[order]
+        s, doc, n, left = s[order], doc[order], n[order], left[order]
         again = np.r_[False, (s[1:] == s[:-1]) & (doc[1:] == doc[:-1])]
-        s, doc, n = s[~again], doc[~again], n[~again]
-        starts = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (WHOLE * n[:-1] < PART * n[1:])])
+        s, doc, n, left = s[~again], doc[~again], n[~again], left[~again]
+
+        def runs() -> np.ndarray:
+            return np.flatnonzero(np.r_[len(s) > 0, (s[1:] != s[:-1]) | (WHOLE * n[:-1] < PART * n[1:])])
+
+        starts = runs()
+        smallest = np.maximum(np.repeat(n[starts], np.diff(np.r_[starts, len(s)])), -(-PART * n // WHOLE))
+        enough = (PART + WHOLE) * left >= PART * (n + smallest)
+        s, doc, n = s[enough], doc[enough], n[enough]
+        starts = runs()
+        if not len(starts):
+            return
         size = np.diff(np.r_[starts, len(s)])
         h = mix(doc.view(np.uint64))
         name = mix(np.add.reduceat(h, starts) + mix(np.bitwise_xor.reduceat(h, starts) + size.astype(np.uint64))).view(np.int64)
@@ -211,6 +223,13 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFr
     return src.where(F.col("id").isNotNull()).mapInArrow(run, schema)
 
 
+def _overlap_bound(n_a, bits_a, n_b, bits_b) -> np.ndarray:
+    """The largest overlap that sizes and signatures allow; a row of words each signature."""
+    lone_a = np.bitwise_count(bits_a & ~bits_b).sum(-1, dtype=np.int64)
+    lone_b = np.bitwise_count(bits_b & ~bits_a).sum(-1, dtype=np.int64)
+    return np.minimum(n_a - lone_a, n_b - lone_b)
+
+
 def possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) that a bound from the signatures (doc, n, bits) lets through.
 
@@ -226,7 +245,7 @@ def possible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
                 continue
             n = [x.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
             bits = [np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint64).reshape(x.num_rows, -1) for c in ("bits_a", "bits_b")]
-            most = np.minimum(n[0] - np.bitwise_count(bits[0] & ~bits[1]).sum(1, dtype=np.int64), n[1] - np.bitwise_count(bits[1] & ~bits[0]).sum(1, dtype=np.int64))
+            most = _overlap_bound(n[0], bits[0], n[1], bits[1])
             keep = pa.array(np.flatnonzero(WHOLE * most >= PART * (n[0] + n[1] - most)))
             yield pa.RecordBatch.from_arrays([x.column("a").take(keep), x.column("b").take(keep)], names=["a", "b"])
 
@@ -275,30 +294,47 @@ def connected(links: DataFrame, label: str) -> DataFrame:
         now = new.select("doc", "component")
 
 
-def across(tiles_: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of comparable size in one tile that are not in one group yet; tiles of a single group go first."""
+def across(tiles_: DataFrame, groups: DataFrame, signatures: DataFrame, nearest: int | None = None) -> DataFrame:
+    """Pairs (a, b, cut) in one tile, not in one group yet, whose sizes and signatures allow a link; tiles of a single group go first.
+
+    The bound is taken where the tile lies, so only pairs that pass it are rows.
+    ``nearest``: for each document only so many pairs, those of the largest bound;
+    cut tells that there were more.
+    """
     rows = tiles_.join(groups, "doc", "left").select("tile", "doc", "n", "lead", F.coalesce("component", "doc").alias("group"))
     mixed = rows.groupBy("tile").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("tile")
-    rows = rows.join(mixed, "tile", "left_semi").repartition("tile")
-    schema = _struct(a=T.LongType(), b=T.LongType())
+    rows = rows.join(mixed, "tile", "left_semi").join(signatures.select("doc", "bits"), "doc")
+    rows = rows.select("tile", "doc", "n", "lead", "group", "bits")
+    # A fixed number: the work of a tile is more than its bytes tell, so tasks are not merged.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile")
+    schema = _struct(a=T.LongType(), b=T.LongType(), cut=T.BooleanType())
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         tile, doc, n, lead, group = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(5))
+        bits = np.concatenate([np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(b.num_rows, -1) for b in got])
         order = np.lexsort((n, tile))
-        tile, doc, n, lead, group = tile[order], doc[order], n[order], lead[order], group[order]
+        tile, doc, n, lead, group, bits = (x[order] for x in (tile, doc, n, lead, group, bits))
         ends = np.searchsorted(tile, tile, "right")
         for i in range(len(tile)):
             # Later ones of this tile whose size is not too large.
             end = i + 1 + np.searchsorted(n[i + 1 : ends[i]], WHOLE * n[i] // PART, "right")
             j = np.arange(i + 1, end)
             j = j[(group[j] != group[i]) & (doc[j] != lead[i]) & (doc[i] != lead[i])]
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[j], doc[i])), pa.array(np.maximum(doc[j], doc[i]))], names=["a", "b"])
+            if not len(j):
+                continue
+            most = _overlap_bound(n[i], bits[i], n[j], bits[j])
+            ok = np.flatnonzero(WHOLE * most >= PART * (n[i] + n[j] - most))
+            cut = nearest is not None and len(ok) > nearest
+            if cut:
+                ok = ok[np.argsort(-most[ok] / (n[i] + n[j[ok]]), kind="stable")[:nearest]]
+            if len(ok):
+                j = j[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[j], doc[i])), pa.array(np.maximum(doc[j], doc[i])), pa.array([cut] * len(j))], names=schema.names)
 
-    return rows.mapInArrow(run, schema).dropDuplicates()
+    return rows.mapInArrow(run, schema).groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,8 +342,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Documents with equal sets are one class, joined by its smallest id.  Classes
     meet in tiles: a rare prefix shingle and a run of sizes.  In each tile all are
-    first held against the smallest id; where that leaves several groups, every
-    pair of different groups is tried, so no link is lost.  A null or empty text
+    first held against the smallest id; where that leaves several groups, the
+    nearest documents of other groups are tried, and in the end every pair of
+    different groups whose signatures allow a link, so no link is lost.  A null or empty text
     has no shingles and is alone; a row without an id is in no group (null).  Rows
     that repeat an id count as one document.
     """
@@ -319,20 +356,26 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     met = materialize(tiles(reps), "tiles")
     signatures = rows.where("id is not null").select(F.col("id").alias("doc"), "n", "bits")
 
-    def link(pairs: DataFrame, label: str) -> DataFrame:
-        near = materialize(possible(pairs, signatures), f"{label}-near")
+    def link(near: DataFrame, label: str) -> DataFrame:
         docs = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
         sets = materialize(sets_of(df, id_col, text_col, docs), f"{label}-sets")
         return materialize(verified(near, sets), f"{label}-links")
 
     star = met.where((F.col("doc") != F.col("lead")) & (WHOLE * F.least("n", "lead_n") >= PART * F.greatest("n", "lead_n")))
-    links = link(star.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct(), "star")
-    found = connected(links, "first")
-    pairs = materialize(across(met, found), "pairs")
-    if pairs.limit(1).count():
-        more = link(pairs, "more")
+    star = star.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    links = link(materialize(possible(star, signatures), "star-near"), "star")
+    found = connected(links, "star")
+    # The nearest of other groups first: they join most groups, so that the last pass finds few pairs left.
+    for nearest in (4, None):
+        pairs = materialize(across(met, found, signatures, nearest), "pairs")
+        if not pairs.limit(1).count():
+            break
+        more = link(pairs.select("a", "b"), "more")
         if more.limit(1).count():
-            found = connected(links.union(more), "all")
+            links = links.union(more)
+            found = connected(links, "more")
+        if not pairs.where("cut").limit(1).count():
+            break  # none was left out
     named = classes.join(found.withColumnRenamed("doc", "rep"), "rep", "left")
     named = materialize(named.select("class", F.coalesce("component", "rep").alias("component_id"), "rows"), "named")
     total = rows.count()
