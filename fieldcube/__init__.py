@@ -1 +1,5 @@
-"""Labelled field cubes as tidy Spark DataFrames."""
+"""Labelled multi-dimensional data on Spark DataFrames."""
+
+from .cube import Cube
+
+__all__ = ["Cube"]

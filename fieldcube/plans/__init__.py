@@ -1,0 +1 @@
+"""Dependency graphs as tables, and jobs of named DataFrame steps."""
