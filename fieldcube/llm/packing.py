@@ -114,18 +114,24 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     return src.mapInArrow(run, schema)
 
 
-def best_fill(value: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
-    """Lengths (with repeats) whose values sum to the most within the capacity: an unbounded knapsack."""
+def fills(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(best, pick) by room: the largest sum of values of lengths (with repeats) that fit, and the last length taken (-1: none)."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(int(lengths[0]), capacity + 1):
-        n = np.searchsorted(lengths, room, "right")
+        n = ends[room]
         got = value[:n] + best[room - lengths[:n]]
         k = int(got.argmax())
         if got[k] > best[room - 1]:
             best[room], pick[room] = got[k], k
         else:
             best[room] = best[room - 1]
-    out, room = [], capacity
+    return best, pick
+
+
+def filling(pick: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
+    """The lengths (indexes, with repeats) of the best filling of ``room``."""
+    out = []
     while room > 0:
         if pick[room] < 0:
             room -= 1
@@ -135,53 +141,101 @@ def best_fill(value: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int
     return out
 
 
-def configurations(demand: dict[int, int], capacity: int = CAPACITY, steps: int = 400, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
+def cover(lengths: np.ndarray, need: np.ndarray, capacity: int, value: np.ndarray, slack: float = 0.01) -> tuple[dict[tuple, float], float]:
+    """({configuration: times}, bound): a fractional covering of the whole ``need``, nothing left and nothing twice.
+
+    Weights start at ``value`` and shrink as their lengths are covered.  A knapsack
+    prices the configurations; of each length, largest first, the best one with it is
+    used if it is worth the best of all but ``slack``, until one of its lengths is
+    covered.  bound: so many sequences any covering needs, by the duals of the pricings.
+    """
+    left, weight, bound = need.astype(float), value.astype(float), 0.0
+    plan: dict[tuple, float] = {}
+    while True:
+        live = np.flatnonzero(left > 0)
+        if not len(live):
+            return plan, bound
+        price = weight[live] * lengths[live] / capacity
+        best, pick = fills(price, lengths[live], capacity)
+        bound = max(bound, float(need[live] @ price / best[capacity]))
+        used = False
+        for j in range(len(live) - 1, -1, -1):
+            room = capacity - int(lengths[live[j]])
+            worth = best[capacity] * (1 - (slack if used else 1e-12))
+            # The last one is used in any case if none was.
+            if left[live[j]] <= 0 or (price[j] + best[room] < worth and (used or j)):
+                continue
+            k, a = np.unique(live[[j, *filling(pick, lengths[live], room)]], return_counts=True)
+            if (left[k] <= 0).any():
+                continue
+            times = float((left[k] / a).min())
+            config = tuple(zip(k.tolist(), a.tolist(), strict=True))
+            plan[config] = plan.get(config, 0.0) + times
+            left[k] -= a * times
+            left[k[left[k] <= 1e-9]] = 0
+            weight[k] *= np.exp(-a * times / need[k])
+            used = True
+
+
+def solve(lengths: np.ndarray, need: np.ndarray, capacity: int, gap: float = 0.01, rounds: int = 6) -> tuple[dict[tuple, float], float]:
+    """The shortest covering of some rounds, and the largest bound; the first round within ``gap`` of the bound is the last.
+
+    Between rounds lengths that stand in badly filled configurations gain value, by
+    the sequences that they took.
+    """
+    value, bound, best = np.ones(len(lengths)), 0.0, None
+    for _ in range(rounds):
+        plan, least = cover(lengths, need, capacity, value)
+        bound = max(bound, least)
+        if best is None or sum(plan.values()) < sum(best.values()):
+            best = plan
+        if sum(best.values()) <= (1 + gap) * bound:
+            break
+        value = np.zeros(len(lengths))
+        for config, times in plan.items():
+            k, a = np.array(config).T
+            value[k] += a * times / need[k] * capacity / (a @ lengths[k])
+    return best, bound
+
+
+def configurations(demand: dict[int, int], capacity: int = CAPACITY, gap: float = 0.01, report: dict | None = None) -> list[tuple[dict[int, int], int]]:
     """(configuration, times): how often each set of lengths fills a sequence, so that the demand is met exactly.
 
     The linear program (fewest sequences that cover the demand) is solved by
-    multiplicative weights: the configuration of the largest weighted value comes
-    from a knapsack, is used for ``rate`` of its scarcest demand, and the weights of
-    what it covers shrink.  The solution is scaled to the demand and rounded down;
-    what is left is packed largest first, each sequence filled as well as a
-    subset-sum of the lengths left allows.  Work depends on the number of different
-    lengths and on ``steps``, not on the demand.
+    multiplicative weights until every length is covered, to ``gap`` of a dual bound.
+    The solution is rounded down; then its largest fractions are rounded up where the
+    demand still allows it.  What is left is packed largest first, each sequence
+    filled as well as a subset-sum of the lengths left allows.  Work depends on the
+    number of different lengths, not on the demand.
+
+    ``report`` gets, in tokens of all: lp (placed by the program rounded down), up
+    (by its fractions), greedy (the rest); and value and bound of the program.
     """
     lengths = np.array(sorted(x for x, n in demand.items() if n > 0))
     if not len(lengths):
         return []
     left = np.array([demand[int(x)] for x in lengths], np.int64)
+    tokens = [int(left @ lengths)]
     out: list[tuple[dict[int, int], int]] = []
-    full = lengths == capacity
-    if full.any():
-        out.append(({capacity: 1}, int(left[full][0])))
-        left[full] = 0
-    need = left.astype(float)
-    rows = need > 0
-    if rows.any():
-        # Sequences of one length at a time start the covering; weights are per row of the program.
-        weight, covered = np.ones(len(lengths)), np.zeros(len(lengths))
-        plan: dict[tuple, float] = {}
-        for _ in range(steps):
-            live = rows & (covered < 1)
-            if not live.any():
-                break
-            price = np.where(live, weight * lengths / capacity, 0)
-            picked = np.flatnonzero(live)
-            config = best_fill(price[picked], lengths[picked], capacity)
-            if not config:
-                break
-            k, a = np.unique(picked[config], return_counts=True)
-            step = rate * float(np.min(need[k] / a))
-            plan[tuple(zip(k.tolist(), a.tolist(), strict=True))] = plan.get(tuple(zip(k.tolist(), a.tolist(), strict=True)), 0.0) + step
-            gain = a * step / need[k]
-            covered[k] += gain
-            weight[k] *= np.exp(-gain)
-        for config, x in sorted(plan.items(), key=lambda c: -c[1]):
+
+    def use(config: tuple, times: int) -> None:
+        if times > 0:
             k, a = np.array(config).T
-            times = int(min(np.floor(x / rate * 0.5 + 1e-9) if x >= 1 else 0, (left[k] // a).min()))
-            if times > 0:
-                out.append(({int(lengths[i]): int(n) for i, n in config}, times))
-                left[k] -= a * times
+            out.append(({int(lengths[i]): int(n) for i, n in config}, times))
+            left[k] -= a * times
+
+    plan, bound = solve(lengths, left.copy(), capacity, gap)
+    for config, x in sorted(plan.items(), key=lambda c: -c[1]):
+        k, a = np.array(config).T
+        use(config, int(min(np.floor(x + 1e-9), (left[k] // a).min())))
+    tokens.append(int(left @ lengths))
+    for config, x in sorted(plan.items(), key=lambda c: -((c[1] + 1e-9) % 1)):
+        k, a = np.array(config).T
+        use(config, int((left[k] >= a).all() and (x + 1e-9) % 1 > 1e-6))
+    tokens.append(int(left @ lengths))
+    if report is not None:
+        shares = [(tokens[0] - tokens[1]) / tokens[0], (tokens[1] - tokens[2]) / tokens[0], tokens[2] / tokens[0]]
+        report |= dict(zip(("lp", "up", "greedy"), shares, strict=True)) | {"value": sum(plan.values()), "bound": bound}
     out += _fill_rest(lengths, left, capacity)
     return out
 

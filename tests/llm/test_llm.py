@@ -278,6 +278,24 @@ def test_configurations_meet_the_demand(seed):
     assert used == Counter({s: n for s, n in demand.items() if n})
 
 
+@pytest.mark.parametrize("shape", ["many", "halves"])
+def test_the_program_covers_every_length(shape):
+    """Most tokens are placed by the program, near its bound, however many lengths there are."""
+    r = np.random.default_rng(8)
+    low = {"many": 1, "halves": 1025}[shape]
+    demand = {x: int(n) for x, n in zip(range(low, 2049), r.integers(20, 60, 2049 - low), strict=False)}
+    lengths, need = np.array(list(demand)), np.array(list(demand.values()))
+    plan, bound = packing.solve(lengths, need, 2048)
+    got = np.zeros(len(lengths))
+    for config, x in plan.items():
+        for k, a in config:
+            got[k] += a * x
+    assert np.allclose(got, need) and need @ lengths / 2048 <= bound * (1 + 1e-9) and sum(plan.values()) <= 1.01 * bound
+    report = {}
+    packing.configurations(demand, report=report)
+    assert report["lp"] > 0.9 and report["lp"] + report["up"] + report["greedy"] == pytest.approx(1)
+
+
 # 7 N-gram Jaccard join
 
 
