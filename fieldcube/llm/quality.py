@@ -1,4 +1,4 @@
-"""Quality rules: base counts of a text, and lines that many documents of a host share."""
+"""Quality rules: base counts of a text, and lines that many documents of a host share, with the text without them."""
 
 from __future__ import annotations
 
@@ -97,16 +97,30 @@ def line_hashes(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(normalized(x)).alias("line"), F.size(F.filter(F.split(x, SPACE, -1), lambda w: w != "")).alias("words")))
 
 
-def frequent_lines(df: DataFrame, text_col: str = "text", host_col: str = "source", max_share: float = 0.1, min_docs: int = 20) -> DataFrame:
+def frequent_lines(
+    df: DataFrame,
+    text_col: str = "text",
+    host_col: str = "source",
+    max_share: float = 0.1,
+    min_docs: int = 20,
+    id_col: str = "doc_id",
+    max_docs: int | None = None,
+) -> DataFrame:
     """(host, line, docs): hashes of lines in more than ``max_share`` of a host's documents, and in ``min_docs`` at least.
 
-    A document counts once for each different line.  A null host is a host of its own ("").
+    ``max_docs``: lines in more documents of a host than that are frequent too,
+    whatever their share.  docs counts different ids; a null one does not count.  A
+    null host is a host of its own ("").
     """
     host = F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))
     hosts = df.groupBy(host.alias("host")).agg(F.count("*").alias("host_docs"))
-    lines = df.select(host.alias("host"), F.explode(F.array_distinct(F.transform(line_hashes(F.col(f"`{text_col}`")), lambda x: x["line"]))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    return counts.join(hosts, "host").where(F.col("docs") > max_share * F.col("host_docs")).select("host", "line", "docs")
+    each = F.array_distinct(F.transform(line_hashes(F.col(f"`{text_col}`")), lambda x: x["line"]))
+    lines = df.select(host.alias("host"), F.col(f"`{id_col}`").alias("id"), F.explode(each).alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("id").alias("docs")).where(F.col("docs") >= min_docs)
+    often = F.col("docs") > max_share * F.col("host_docs")
+    if max_docs is not None:
+        often = often | (F.col("docs") > max_docs)
+    return counts.join(hosts, "host").where(often).select("host", "line", "docs")
 
 
 def depleted(
@@ -117,8 +131,9 @@ def depleted(
     max_share: float = 0.1,
     min_docs: int = 20,
     salts: int = 32,
+    max_docs: int | None = None,
 ) -> DataFrame:
-    """(id, key, removed_words): words on frequent lines, for documents that have such lines.  key: a hash of the text.
+    """(id, key, removed_words, lines): words on frequent lines and these lines' hashes, for documents that have such lines.  key: a hash of the text.
 
     Lines are dealt to ``salts`` tasks a key, since one line may stand in a third
     of all documents; the few frequent lines are repeated as often.
@@ -127,11 +142,18 @@ def depleted(
     host = F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), F.xxhash64(text).alias("key"), F.posexplode(line_hashes(text)).alias("at", "x"))
     rows = rows.select("id", "host", "key", "at", "x.line", "x.words", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    often = frequent_lines(df, text_col, host_col, max_share, min_docs)
+    often = frequent_lines(df, text_col, host_col, max_share, min_docs, id_col, max_docs)
     often = often.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     # Repeated rows (same id and text) bring each line several times: the sum is divided by that.
     words = F.sum("words") * F.size(F.collect_set("at")) / F.count("*")
-    return rows.join(often, ["host", "line", "salt"]).groupBy("id", "key").agg(words.cast("long").alias("removed_words"))
+    return rows.join(often, ["host", "line", "salt"]).groupBy("id", "key").agg(words.cast("long").alias("removed_words"), F.collect_set("line").alias("lines"))
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines that have these hashes; blank lines stay."""
+    lines = F.split(text, "\n", -1)
+    stays = F.filter(lines, lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains(hashes, F.xxhash64(normalized(x))))
+    return F.when(hashes.isNull(), text).otherwise(F.array_join(stays, "\n"))
 
 
 def rate(
@@ -142,20 +164,22 @@ def rate(
     max_share: float = 0.1,
     min_docs: int = 20,
     max_removed: float = 0.5,
+    max_docs: int | None = None,
 ) -> DataFrame:
-    """Per row: the id, the base counts, removed_words and kept.
+    """Per row: the id, the base counts, removed_words, kept and clean_text, the text without frequent lines.
 
     Kept: the base rules hold and frequent lines hold no more than ``max_removed``
     of the words.  Rows with the same id and text are copies of one document and
     get the same verdict.
     """
     src = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__t"), F.xxhash64(f"`{text_col}`").alias("__key"))
-    base = base_counts(src, "__t").drop("__t")
-    hit = depleted(df, id_col, text_col, host_col, max_share, min_docs)
+    base = base_counts(src, "__t")
+    hit = depleted(df, id_col, text_col, host_col, max_share, min_docs, max_docs=max_docs)
     joined = base.join(hit, base[id_col].eqNullSafe(hit["id"]) & (base["__key"] == hit["key"]), "left").drop("id", "key", "__key")
     removed = F.coalesce("removed_words", F.lit(0)).cast("long")
     kept = ~F.col("base_failed") & (removed <= max_removed * F.col("n_words"))
-    return joined.withColumn("removed_words", removed).withColumn("kept", kept)
+    joined = joined.withColumn("removed_words", removed).withColumn("kept", kept)
+    return joined.withColumn("clean_text", without_lines(F.col("__t"), F.col("lines"))).drop("__t", "lines")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

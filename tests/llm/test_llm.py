@@ -111,6 +111,21 @@ def test_lines_that_many_documents_share_go(spark):
     assert all(got[i].kept and got[i].removed_words == 3 for i in range(40)) and not got[99].kept
 
 
+def test_frequent_lines_count_documents_and_leave_a_clean_text(spark):
+    """Rows that repeat a document count once, and max_docs holds where a host is too large for its share."""
+    data = [(i, "h", f"own {chr(97 + i)}\n\nShared  footer {i}") for i in range(25)] + [(i % 10, "again", f"one {chr(97 + i % 10)}\nfooter") for i in range(30)]
+    data += [(100 + i, "large", chr(97 + i // 26) + chr(97 + i % 26) + ("\nbanner" if i < 30 else "")) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string")
+    assert {(r.host, r.docs) for r in quality.frequent_lines(df).collect()} == {("h", 25)}
+    assert {(r.host, r.docs) for r in quality.frequent_lines(df, max_docs=29).collect()} == {("h", 25), ("large", 30)}
+    texts = {(i, t) for i, _, t in data}
+    for most in (None, 29):
+        want = {(i, t.partition("\n\n")[0] + "\n" if h == "h" else t.removesuffix("\nbanner") if most else t) for i, h, t in data}
+        got = quality.rate(df, max_docs=most).collect()
+        assert {(r.doc_id, r.clean_text) for r in got} == want and len(got) == len(data) and texts != want
+        assert all(r.n_words - r.removed_words == len(r.clean_text.split()) for r in got)
+
+
 # 3 Decontamination
 
 
