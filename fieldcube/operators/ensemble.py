@@ -29,6 +29,22 @@ def window_operation(cube: Cube, how: str, windows: dict[str, Sequence], dim: st
     return cube._new(df, dims=[*rest, name], coords={**cube.coords, name: list(windows)})
 
 
+def in_windows(cube: Cube, length: int, every: int, dim: str = "step", name: str = "window") -> Cube:
+    """Each row once for each window of ``length`` whole numbers that holds its label; window k begins at k * ``every``.
+
+    The windows are those of all labels from 0 on, computed row by row.
+    """
+    last = F.floor(F.col(dim) / every)
+    first = F.greatest(F.lit(0), F.floor((F.col(dim) - length) / every) + 1)
+    df = cube.df.where((F.col(dim) >= 0) & (first <= last)).withColumn(name, F.explode(F.sequence(first, last)))
+    return cube._new(df, dims=[*cube.dims, name])
+
+
+def running_windows(cube: Cube, how: str, length: int, every: int, dim: str = "step", name: str = "window") -> Cube:
+    """Reduce ``dim`` over windows of ``length`` that begin at each multiple of ``every``, as far as the labels go."""
+    return in_windows(cube, length, every, dim, name).reduce(how, dim)
+
+
 def threshold_prob(cube: Cube, compare: str, threshold: float, dim: str = "member") -> Cube:
     """The percentage of labels of ``dim`` whose value compares true with the threshold."""
     test = fn.comparison(compare)

@@ -293,6 +293,87 @@ def metadata_override(spark, sf):
     return n.where(F.col("meta")["edition"] == "1").agg(F.count("*").alias("fields"), F.count_distinct(F.col("meta")["region"]).alias("regions"))
 
 
+# The same operators over whole tables: all members, steps and elements; window k holds steps 5 k to 5 k + 9.
+
+V = f"{E}, s AS (SELECT member, step, i, v, step // 5 - k AS win FROM e, (VALUES (0), (1)) AS x(k) WHERE step // 5 >= k)"
+
+
+@query(f"{V} SELECT member, win AS window, i, min(v) AS v FROM s GROUP BY ALL")
+def window_min_whole(spark, sf):
+    return ensemble.running_windows(ens(spark, sf), "min", 10, 5).df
+
+
+@query(f"{V}, m AS (SELECT member, win, i, min(v) AS v FROM s GROUP BY ALL) SELECT win AS window, i, {R('avg((v <= -0.1)::INT) * 100')} FROM m GROUP BY ALL")
+def window_probability_whole(spark, sf):
+    return rounded(ensemble.threshold_prob(ensemble.running_windows(ens(spark, sf), "min", 10, 5), "<=", -0.1))
+
+
+@query(
+    f"""{V}, k AS (SELECT unnest(range(101)) AS k), p AS (SELECT k, 2 * asin(sqrt(k / 100.0::DOUBLE)) AS a FROM k),
+wt AS (SELECT k, (lead(a, 1, a) OVER (ORDER BY k) - lag(a, 1, a) OVER (ORDER BY k)) / 2 AS w FROM p),
+c AS (SELECT win, i, quantile_cont(v, [x / 100.0::DOUBLE for x in range(101)]) AS q FROM s WHERE step % 2 = 0 GROUP BY win, i),
+f AS (SELECT member, win, i, avg(v) AS v FROM s WHERE step % 2 = 1 GROUP BY member, win, i),
+b AS (SELECT win, i, k, avg((v < q[k + 1])::INT) AS below FROM f JOIN c USING (win, i), k GROUP BY win, i, k),
+x AS (SELECT win, i, 2 / pi() * sum(w * (k / 100.0::DOUBLE - below)) AS efi FROM b JOIN wt USING (k) GROUP BY win, i),
+t AS (SELECT win, i, quantile_cont(v, 0.1) AS f10, quantile_cont(v, 0.9) AS f90 FROM f GROUP BY win, i)
+SELECT win AS window, i, {R('efi', 'efi', 5)}, {R('(f10 - q[2]) / (q[2] - q[11])', 'sot10', 5)}, {R('(f90 - q[100]) / (q[100] - q[91])', 'sot90', 5)}
+FROM x JOIN c USING (win, i) JOIN t USING (win, i)"""
+)
+def extreme_index_whole(spark, sf):
+    c = ens(spark, sf)
+    even, odd = (c._new(c.df.where(F.col("step") % 2 == k)) for k in (0, 1))
+    clim = ensemble.climatology(ensemble.in_windows(even, 10, 5), ["member", "step"])
+    return rounded(ensemble.extreme(ensemble.running_windows(odd, "mean", 10, 5), clim), "efi", "sot10", "sot90", digits=5)
+
+
+@query(f"{E} SELECT member, step, i, {R('v * v')} FROM e")
+def map_python_whole(spark, sf):
+    return rounded(ens(spark, sf).map_arrays(lambda a: a * a))
+
+
+@query(f"{E} SELECT a.member, a.step, a.i, CASE WHEN b.v <= 0 THEN 0.0 ELSE a.v END AS v FROM e a JOIN e b ON b.member = (a.member + 1) % 10 AND a.step = b.step AND a.i = b.i")
+def mask_filter_whole(spark, sf):
+    c = ens(spark, sf)
+    return c.mask(c._new(c.df.withColumn("member", (F.col("member") + 9) % 10)), "<=", 0.0).df
+
+
+@query(f"{E} SELECT 'raw' AS kind, member, step, i, v FROM e UNION ALL SELECT 'twice', member, step, i, v * 2 FROM e")
+def join_new_whole(spark, sf):
+    c = ens(spark, sf)
+    return c.join(c.map(lambda v: v * 2), "kind", ["raw", "twice"]).df
+
+
+@query(f"{E} SELECT l AS level, member, step, i, v FROM e, (VALUES ('low'), ('high')) AS x(l)")
+def broadcast_dims_whole(spark, sf):
+    c = ens(spark, sf)
+    return c.broadcast(Cube(c.df.limit(0).withColumn("level", F.lit("")), ["level"], [], ["v"], {"level": ["low", "high"]})).df
+
+
+@query(f"{E} SELECT k AS power, member, step, i, {R('v ** k')} FROM e, (VALUES (2), (3)) AS x(k)")
+def transform_union_whole(spark, sf):
+    return rounded(ens(spark, sf).transform(lambda c, k: c.power(k), [2, 3], "power"))
+
+
+@query(f"{E} SELECT member, step, i, n, {R('v * n')} FROM e, (VALUES (1), (2), (3)) AS x(n)")
+def yields_multiples_whole(spark, sf):
+    return rounded(ens(spark, sf).yields([lambda v, k=k: v * k for k in (1, 2, 3)], "n", [1, 2, 3]))
+
+
+def _binary_whole() -> None:
+    sql = {"add": "a.v + b.v", "subtract": "a.v - b.v", "multiply": "a.v * b.v", "divide": "a.v / b.v", "diff": "b.v - a.v"}
+    for how, x in sql.items():
+
+        def run(spark, sf, how=how):
+            c = ens(spark, sf)
+            return rounded(c.select(member=list(range(5))).combine(c.select(member=list(range(5, 10))), how))
+
+        QUERIES[f"binary_{how}_whole"] = run
+        ORACLES[f"binary_{how}_whole"] = f"{E} SELECT a.member, a.step, a.i, {R(x)} FROM e a JOIN e b ON b.member = a.member + 5 AND a.step = b.step AND a.i = b.i"
+
+
+_binary_whole()
+
+
 # Graphs: customers hang on nations, nations on regions.
 
 GRAPH = """nodes AS (SELECT 'r' || r_regionkey AS name, 'region' AS payload FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'c' || c_custkey, c_mktsegment FROM customer),
@@ -363,6 +444,13 @@ def graph_nearest_common(spark, sf):
     return top.nearest_common_descendant()
 
 
+@query(
+    f"WITH {GRAPH}, f AS (SELECT name AS s, name AS c, 0 AS d FROM nodes UNION ALL SELECT src, dst, 1 FROM edges UNION ALL SELECT a.src, b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src) SELECT x.s AS a, y.s AS b, min(greatest(x.d, y.d)) AS d FROM f x JOIN f y ON x.c = y.c AND x.s < y.s GROUP BY ALL"
+)
+def graph_nearest_common_whole(spark, sf):
+    return plan(spark, sf).nearest_common_descendant()
+
+
 # Traces: the events as a log of users' actions.
 
 ACTIONS = ["view", "click", "purchase"]
