@@ -6,7 +6,6 @@ import base64
 import os
 import re
 import struct
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -80,15 +79,16 @@ class Encoder:
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """(id, row, piece, start, length, ids_crc32): each document's ids and a closing 0, cut into pieces.
+    """(id, row, piece, start, length, ids): each document's ids and a closing 0, cut into pieces.
 
     A document of at most ``capacity`` ids is one piece.  Of a longer one, all
     pieces are full but the first, which has what is left over.  A null text is
     empty (one id).  row: a hash of the text, which tells rows with equal ids apart.
+    ids: little-endian unsigned 32-bit numbers, one after the other.
     """
     path = path or tokenizer_path()
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("row"), F.col(f"`{text_col}`").alias("text"))
-    schema = T.StructType([src.schema["id"], src.schema["row"], *[T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32")]])
+    schema = T.StructType([src.schema["id"], src.schema["row"], *[T.StructField(c, T.LongType()) for c in ("piece", "start", "length")], T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         import pyarrow as pa
@@ -106,9 +106,9 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                     for piece in range(len(cuts) - 1):
                         a, b = cuts[piece], cuts[piece + 1]
                         which.append(k)
-                        rows.append((piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                        rows.append((piece, a, b - a, ids[4 * a : 4 * b]))
                 cols = [part.column(j).take(pa.array(which, pa.int64())) for j in range(2)]
-                cols += [pa.array([r[j] for r in rows], pa.int64()) for j in range(4)]
+                cols += [pa.array([r[j] for r in rows], pa.int64() if j < 3 else pa.binary()) for j in range(4)]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return src.mapInArrow(run, schema)
@@ -314,11 +314,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("id", "row", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "bucket").orderBy("id", "row", "piece", "ids")
     rows = rows.withColumn("rn", F.row_number().over(own) - 1).join(counts, ["length", "bucket"])
     rows = rows.withColumn("rank", (F.col("before") + F.col("rn")).cast("long")).drop("before", "rn", "bucket")
     shared = df.sparkSession.sparkContext.broadcast(plan)
-    keep = ["id", "piece", "start", "length", "ids_crc32"]
+    keep = ["id", "piece", "start", "length", "ids"]
     schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
@@ -340,5 +340,14 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     return rows.mapInArrow(place, schema)
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids): whole sequences, the pieces of ``pack`` put together by their offsets."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])
+    whole = F.aggregate(parts, F.lit(b""), lambda s, x: F.concat(s, x))
+    return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), whole.alias("ids"))
+
+
 def op6_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    """Checksums of the ids that ``pack`` gives."""
+    rows = pack(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids"))
+    return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -293,6 +293,22 @@ def test_configurations_meet_the_demand(seed):
     assert used == Counter({s: n for s, n in demand.items() if n})
 
 
+def test_packing_gives_the_ids(spark, docs, rows):
+    """The ids of pieces make up each document's, and those of sequences are the pieces' by their offsets."""
+    few = docs.where("doc_id < 40")
+    encoder = packing.Encoder(packing.tokenizer_path())
+    packed = packing.pack(few).localCheckpoint()
+    texts, parts = defaultdict(bytes), defaultdict(bytes)
+    for r in packed.orderBy("id", "piece").collect():
+        assert len(r.ids) == 4 * r.length
+        texts[r.id] += bytes(r.ids)
+    assert texts == {r.doc_id: encoder.encode(r.text or "") + bytes(4) for r in rows if r.doc_id < 40}
+    for r in packed.orderBy("sequence_id", "offset").collect():
+        parts[r.sequence_id] += bytes(r.ids)
+    got = {r.sequence_id: (bytes(r.ids), r.length) for r in packing.sequences(packed).collect()}
+    assert got == {k: (x, len(x) // 4) for k, x in parts.items()} and all(n <= 2048 for _, n in got.values())
+
+
 @pytest.mark.parametrize("shape", ["many", "halves"])
 def test_the_program_covers_every_length(shape):
     """Most tokens are placed by the program, near its bound, however many lengths there are."""
