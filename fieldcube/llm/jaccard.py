@@ -344,7 +344,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     meet in tiles: a rare prefix shingle and a run of sizes.  In each tile all are
     first held against the smallest id; where that leaves several groups, the
     nearest documents of other groups are tried, and in the end every pair of
-    different groups whose signatures allow a link, so no link is lost.  A null or empty text
+    different groups whose signatures allow a link, so components are whole; links
+    within a group are not all tried.  A null or empty text
     has no shingles and is alone; a row without an id is in no group (null).  Rows
     that repeat an id count as one document.
     """
