@@ -493,3 +493,36 @@ def test_pipeline(spark, docs, tmp_path):
         now = out
     whole = corpus_pipeline.run(spark, DATA)
     assert sorted(whole.columns) == sorted(now.columns) and whole.count() == now.count()
+
+
+def test_stages_keep_the_right_documents(spark, docs, rows):
+    """Each stage on all documents: ids and texts that stay, against brute force and the queries' own verdicts."""
+    texts = {r.doc_id: r.text for r in rows}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(name):
+        got = stages[name](spark, docs, DATA).collect()
+        assert len({r.doc_id for r in got}) == len(got)
+        return got
+
+    rated = QUERIES["op1_langid"](spark, DATA).collect()
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    want = {
+        "language_id": {r.doc_id for r in rated if r.lang_pred != "und" and r.score >= 0.5},
+        "near_duplicates": {d for d, (_, top) in brute_groups(texts).items() if d == top},
+        "decontamination": set(texts) - {d for d, _ in brute_leaks({d: x or "" for d, x in texts.items()}, items)},
+    }
+    for name, ids in want.items():
+        got = kept(name)
+        assert {r.doc_id for r in got} == ids and all(r.text == texts[r.doc_id] for r in got), name
+    clean = {r.doc_id: r for r in kept("secret_scan")}
+    assert set(clean) == set(texts)
+    for r in QUERIES["op9_secrets"](spark, DATA).collect():
+        text = texts[r.doc_id] or ""
+        spans = sorted(tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x)
+        assert {(a, b) for a, _, b, _ in brute_secrets(text)} <= set(spans)
+        out, done = "", 0
+        for a, b in spans:
+            out += text[done:a] + "[SECRET]" if a >= done else ""
+            done = max(done, b)
+        assert (clean[r.doc_id].text or "") == out + text[done:] and (texts[r.doc_id] is None or clean[r.doc_id].n_chars == len(out + text[done:]))
