@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,21 +27,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is chosen.
+    Only on one machine (tests) may the session name none: then it is a temporary
+    folder.  On a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.gettempdir() + "/fieldcube-shared"
     return root.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fieldcube/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, label).keep(df, "rows")
+
+
+class Scratch:
+    """Tables in the shared folder by name; each is deleted when its readers are done."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.paths, self.turn = spark, f"{shared_folder(spark)}/fieldcube/{label}-{uuid.uuid4().hex}", {}, 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back, which cuts its lineage.  An older table of this name goes only then, as ``df`` may read it."""
+        self.turn += 1
+        path = f"{self.root}/{name}-{self.turn}"
+        df.write.parquet(path)
+        if name in self.paths:
+            self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(conf).delete(path, True)
 
 
 def append_columns(

@@ -370,6 +370,26 @@ def test_jaccard_on_chains_of_near_copies(spark):
     assert by_id(jaccard.groups(df).withColumnRenamed("id", "doc_id"), "n_shingles", "component_id") == brute_groups(texts)
 
 
+def test_jaccard_in_many_blocks(spark, monkeypatch):
+    """Tiles cut into blocks, signatures of several widths, ids that repeat with other texts, and tables that go when read."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "FIRST", 2)
+    r = np.random.default_rng(5)
+    texts = {}
+    for d in range(90):
+        w = [f"w{k}" for k in range(620 if d % 3 else 60)]
+        for k in r.integers(0, len(w), len(w) // 60 * int(r.integers(0, 4))):
+            w[k] = f"x{r.integers(0, 40)}"
+        texts[d] = " ".join(w[: len(w) - d % 9])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = jaccard.groups(df.union(df.where("doc_id < 5"))).dropDuplicates(["id"])
+    assert by_id(got.withColumnRenamed("id", "doc_id"), "n_shingles", "component_id") == brute_groups(texts)
+    two = jaccard.groups(spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "a b c d e f"), (3, "g h i j k l")], "doc_id long, text string")).collect()
+    assert {r.component_id for r in two} == {1}
+    kept = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(jaccard.Scratch(spark, "x").root.rsplit("/", 1)[0] + "/jaccard-*").select("path").collect()
+    assert kept and all("/groups-" in r.path for r in kept)
+
+
 def test_jaccard_edges(edge):
     got = jaccard.groups(edge).collect()
     assert len(got) == len(EDGE)
