@@ -82,7 +82,10 @@ def append_columns(
     """
     new = {f.name for f in fields}
     cols = [c for c in (df.columns if keep is None else keep) if c not in new]
-    src = df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text_col}`").alias("__text"))
+    name = "__text"
+    while name in df.columns:
+        name += "_"
+    src = df.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text_col}`").alias(name))
     schema = T.StructType([*src.schema.fields[:-1], *fields])
 
     def run(batches):
@@ -136,3 +139,10 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, weight: str,
     seen = rows.join(F.broadcast(hot.select(key, value)), key, "left")
     rest = seen.where(F.col(value).isNull()).drop(value).join(table.select(key, value), key, "left")
     return seen.where(F.col(value).isNotNull()).unionByName(rest)
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its own columns of these names renamed, and a function that selects all of its columns again under their names."""
+    taken = {c: f"__own_{c}" for c in df.columns if c.lower() in names}
+    columns = [F.col(f"`{taken.get(c, c)}`").alias(c) for c in df.columns]
+    return df.withColumnsRenamed(taken), lambda out: out.select(*columns)
