@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .util import Memo, append_columns, documents, materialize, sample_rows
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words, by one rule in training and in use.
+WORD = r"\p{L}+"
+LETTERS = regex.compile(WORD)
 UND = "und"
 
 
@@ -42,28 +43,31 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     max_rows: int = 20_000,
-    max_words: int = 60_000,
-    max_grams: int = 120_000,
     order: int = 4,
     smoothing: float = 0.1,
+    least_count: int = 2,
 ) -> BackoffModel:
     """Count words and n-grams by language over at most about ``max_rows`` labelled rows.
 
     Rows whose text or language is null are left out.  Without any row the model
-    knows no language.  Ties at the vocabulary limits are broken by the string.
+    knows no language.  A word is known if these rows have it ``least_count`` times;
+    all n-grams are.  ``max_rows`` is what bounds the model.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = sample_rows(rows.where("text is not null and lang is not null"), "id", max_rows)
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")
     counts = materialize(rows.select("lang", word).groupBy("lang", "word").agg(F.count("*").alias("n")), "langid-words")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return BackoffModel([], {}, {}, order)
 
-    def top(df: DataFrame, limit: int) -> list:
-        by = df.groupBy("key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return by.orderBy(F.desc("total"), "key").limit(limit).collect()
+    def all_of(df: DataFrame, least: int) -> tuple[list[str], np.ndarray]:
+        """Keys that occur ``least`` times, and their counts by language."""
+        by = df.groupBy("key").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)])
+        got = by.where(sum((F.col(f"n{i}") for i in range(len(langs))), F.lit(0)) >= least).toArrow()
+        return got.column(0).to_pylist(), np.stack([got.column(1 + i).to_numpy() for i in range(len(langs))], 1)
 
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
-    words = top(counts.select(F.col("word").alias("key"), "lang", "n"), max_words)
+    words, by_word = all_of(counts.select(F.col("word").alias("key"), "lang", "n"), least_count)
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
 
     def cut(n: int):
@@ -71,17 +75,17 @@ def train(
         return F.when(F.length(padded) >= n, F.transform(at, lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
     pieces = F.flatten(F.array(*[cut(n) for n in range(1, order + 1)]))
-    grams = top(counts.select(F.explode(pieces).alias("key"), "lang", "n").groupBy("key", "lang").agg(F.sum("n").alias("n")), max_grams)
-    per_order = {(lang, n): 0 for lang in langs for n in range(1, order + 1)}
-    for r in grams:
-        for lang, n in r.by.items():
-            per_order[lang, len(r.key)] += n
+    grams, by_gram = all_of(counts.select(F.explode(pieces).alias("key"), "lang", "n").groupBy("key", "lang").agg(F.sum("n").alias("n")), 1)
 
-    def logs(r, sizes: dict, kinds: int) -> list[float]:
-        return [math.log((r.by.get(x, 0) + smoothing) / (sizes[x] + smoothing * kinds)) for x in langs]
+    def logs(keys: list[str], by: np.ndarray) -> dict[str, list[float]]:
+        return dict(zip(keys, np.log((by + smoothing) / (by.sum(0) + smoothing * len(keys))).tolist(), strict=True)) if keys else {}
 
-    sizes = {n: {lang: per_order[lang, n] for lang in langs} for n in range(1, order + 1)}
-    return BackoffModel(langs, {r.key: logs(r, totals, len(words)) for r in words}, {r.key: logs(r, sizes[len(r.key)], len(grams)) for r in grams}, order)
+    lengths = np.array([len(g) for g in grams])
+    scored: dict[str, list[float]] = {}
+    for n in range(1, order + 1):
+        at = np.flatnonzero(lengths == n)
+        scored |= logs([grams[k] for k in at], by_gram[at])
+    return BackoffModel(langs, logs(words, by_word), scored, order)
 
 
 def identify(df: DataFrame, model: BackoffModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -107,7 +111,7 @@ def identify(df: DataFrame, model: BackoffModel, text_col: str = "text", keep: l
             langs, scores = [], []
             for text in texts:
                 counts = Counter(LETTERS.findall(text.lower())) if text and m.langs else None
-                if not counts or not any(c.isalpha() for w in counts for c in w):
+                if not counts:
                     langs.append(UND)
                     scores.append(0.0)
                     continue
