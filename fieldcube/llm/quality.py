@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import documents
+from .util import documents, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Bits of a packed value that hold the position of a three-word window.
-POSITION_BITS = 20
+#: A line in more documents of its host than this is frequent.
+MAX_DOCS = 3
 
 
 def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -27,63 +27,78 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
             "word_chars": F.length(F.array_join("__words", "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "__keys": _window_keys(F.col("__words")),
         }
     )
-    # Equal windows stand together once sorted, in the order of their positions.
-    df = df.withColumn("__keys", F.sort_array("__keys"))
-    low = (1 << POSITION_BITS) - 1
+    df = df.withColumn("n_repeat_words", _repeat_words(df, F.col("__words")))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return df.withColumn("base_failed", failed).drop("__words", "__lines")
 
-    def same(a: Column, b: Column) -> Column:
-        def word(k: Column, j: int) -> Column:
-            return F.get(F.col("__words"), k.bitwiseAND(F.lit(low)).cast("int") + j)
 
-        alike = F.shiftright(a, POSITION_BITS) == F.shiftright(b, POSITION_BITS)
-        return alike & (word(a, 0) == word(b, 0)) & (word(a, 1) == word(b, 1)) & (word(a, 2) == word(b, 2))
+def _hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
-    keys = F.col("__keys")
-    twice = F.filter(
-        keys,
-        lambda k, i: ((i > 0) & same(k, F.get(keys, F.greatest(i - 1, F.lit(0))))) | ((i + 1 < F.size(keys)) & same(k, F.get(keys, i + 1))),
-    )
-    df = df.withColumn("__at", F.sort_array(F.transform(twice, lambda k: k.bitwiseAND(F.lit(low)).cast("int"))))
-    at = F.col("__at")
-    gaps = F.transform(at, lambda p, i: F.when(i + 1 < F.size(at), F.least(F.lit(3), F.get(at, i + 1) - p)).otherwise(3))
-    short = F.aggregate(gaps, F.lit(0), lambda s, x: s + x).cast("long")
-    df = df.withColumn("n_repeat_words", F.when(F.size("__words") < (1 << POSITION_BITS), short).otherwise(_repeat_words_long(F.col("__words"))))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("__words", "__lines", "__keys", "__at")
 
+def _repeat_words(df: DataFrame, words: Column) -> Column:
+    """Words covered by three-word windows that occur twice or more, each once.
 
-def _windows(words: Column) -> Column:
-    """Positions of the three-word windows, none in longer texts than a packed position can tell."""
+    A window is one long: its hash, and in the low bits, as many as the text needs,
+    its position.  Sorted, equal windows stand together in the order of their
+    positions.  Where windows of one hash differ, which neighbours show, that text's
+    windows are sorted by their words instead, so the count is exact.
+    """
     n = F.size(words)
-    return F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    bits = F.length(F.bin(n)).cast("int")
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    keys = F.transform(at, lambda i: _hash(words, i).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+    packed = F.struct(low.alias("low"), F.sort_array(keys).alias("keys"))
+    return _let(packed, lambda x: _covered_of(words, at, x["low"], x["keys"]))
 
 
-def _hash(words: Column, i: Column) -> Column:
-    return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not for each element of the lambdas that use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _window_keys(words: Column) -> Column:
-    """One long a window: upper bits of its hash, and its position."""
-    n = F.size(words)
-    at = F.when((n >= 3) & (n < (1 << POSITION_BITS)), F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.shiftleft(F.shiftright(_hash(words, i), POSITION_BITS), POSITION_BITS).bitwiseOR(i.cast("long")))
+def _covered_of(words: Column, at: Column, low: Column, keys: Column) -> Column:
+    def place(k: Column) -> Column:
+        return k.bitwiseAND(low).cast("int")
 
+    def hashed_alike(a: Column, b: Column) -> Column:
+        return a.bitwiseOR(low) == b.bitwiseOR(low)
 
-def _repeat_words_long(words: Column) -> Column:
-    """The same count for texts of 2**20 words or more, by sorting (hash, position) pairs."""
-    pairs = F.array_sort(F.transform(_windows(words), lambda i: F.struct(_hash(words, i).alias("h"), i.alias("i"))))
-    hit = F.filter(
-        pairs,
-        lambda p, k: ((k > 0) & (p["h"] == F.get(pairs, F.greatest(k - 1, F.lit(0)))["h"])) | (p["h"] == F.get(pairs, k + 1)["h"]),
-    )
-    at = F.sort_array(F.transform(hit, lambda p: p["i"]))
-    # A struct carries the running count and the end of the last covered word.
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
-    step = F.aggregate(at, zero, lambda s, p: F.struct((s["n"] + (p + 3 - F.greatest(s["end"], p)).cast("long")).alias("n"), (p + 3).alias("end")))
-    return step["n"]
+    def same(a: Column, b: Column) -> Column:
+        i, j = place(a), place(b)
+        return (F.get(words, i) == F.get(words, j)) & (F.get(words, i + 1) == F.get(words, j + 1)) & (F.get(words, i + 2) == F.get(words, j + 2))
+
+    clash = F.exists(F.transform(keys, lambda k, i: (i > 0) & hashed_alike(k, F.get(keys, F.greatest(i - 1, F.lit(0)))) & ~same(k, F.get(keys, F.greatest(i - 1, F.lit(0))))), lambda x: x)
+    twice = F.filter(keys, lambda k, i: ((i > 0) & hashed_alike(k, F.get(keys, F.greatest(i - 1, F.lit(0))))) | ((i + 1 < F.size(keys)) & hashed_alike(k, F.get(keys, i + 1))))
+    fast = _covered(F.transform(twice, place))
+    return F.when(clash, _covered(_by_words(words, at))).otherwise(fast)
+
+
+def _by_words(words: Column, at: Column) -> Column:
+    """Positions of repeated windows, by sorting the windows themselves."""
+    windows = F.transform(at, lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("i")))
+
+    def alike(x: Column, y: Column) -> Column:
+        return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+
+    def repeated(whole: Column) -> Column:
+        hit = F.filter(whole, lambda x, k: ((k > 0) & alike(x, F.get(whole, F.greatest(k - 1, F.lit(0))))) | ((k + 1 < F.size(whole)) & alike(x, F.get(whole, k + 1))))
+        return F.transform(hit, lambda x: x["i"])
+
+    return _let(F.array_sort(windows), repeated)
+
+
+def _covered(places: Column) -> Column:
+    """Words in the three-word windows that start at these places."""
+
+    def count(at: Column) -> Column:
+        gaps = F.transform(at, lambda p, i: F.when(i + 1 < F.size(at), F.least(F.lit(3), F.get(at, i + 1) - p)).otherwise(3))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    return _let(F.sort_array(places), count)
 
 
 def normalized(line: Column) -> Column:
@@ -97,56 +112,37 @@ def line_hashes(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(normalized(x)).alias("line"), F.size(F.filter(F.split(x, SPACE, -1), lambda w: w != "")).alias("words")))
 
 
-def frequent_lines(
-    df: DataFrame,
-    text_col: str = "text",
-    host_col: str = "source",
-    max_share: float = 0.1,
-    min_docs: int = 20,
-    id_col: str = "doc_id",
-    max_docs: int | None = None,
-) -> DataFrame:
-    """(host, line, docs): hashes of lines in more than ``max_share`` of a host's documents, and in ``min_docs`` at least.
-
-    ``max_docs``: lines in more documents of a host than that are frequent too,
-    whatever their share.  docs counts different ids; a null one does not count.  A
-    null host is a host of its own ("").
-    """
-    host = F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))
-    hosts = df.groupBy(host.alias("host")).agg(F.count("*").alias("host_docs"))
-    each = F.array_distinct(F.transform(line_hashes(F.col(f"`{text_col}`")), lambda x: x["line"]))
-    lines = df.select(host.alias("host"), F.col(f"`{id_col}`").alias("id"), F.explode(each).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count_distinct("id").alias("docs")).where(F.col("docs") >= min_docs)
-    often = F.col("docs") > max_share * F.col("host_docs")
-    if max_docs is not None:
-        often = often | (F.col("docs") > max_docs)
-    return counts.join(hosts, "host").where(often).select("host", "line", "docs")
-
-
-def depleted(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    max_share: float = 0.1,
-    min_docs: int = 20,
-    salts: int = 32,
-    max_docs: int | None = None,
-) -> DataFrame:
-    """(id, key, removed_words, lines): words on frequent lines and these lines' hashes, for documents that have such lines.  key: a hash of the text.
-
-    Lines are dealt to ``salts`` tasks a key, since one line may stand in a third
-    of all documents; the few frequent lines are repeated as often.
-    """
+def lines_of(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(id, host, key, at, line, words): each line that is not blank; key: a hash of the text.  A null host is a host of its own ("")."""
     text = F.col(f"`{text_col}`")
     host = F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), F.xxhash64(text).alias("key"), F.posexplode(line_hashes(text)).alias("at", "x"))
-    rows = rows.select("id", "host", "key", "at", "x.line", "x.words", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    often = frequent_lines(df, text_col, host_col, max_share, min_docs, id_col, max_docs)
-    often = often.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return rows.select("id", "host", "key", "at", "x.line", "x.words")
+
+
+def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, line, docs): lines of ``lines_of`` in more than ``max_docs`` documents of a host.
+
+    An absolute limit, so it means the same on a table of any size.  docs counts
+    different ids; a null one does not count.
+    """
+    return lines.groupBy("host", "line").agg(F.count_distinct("id").alias("docs")).where(F.col("docs") > max_docs)
+
+
+def depleted(lines: DataFrame, often: DataFrame) -> DataFrame:
+    """(id, key, removed_words, lines): words on frequent lines and these lines' hashes, for documents that have such lines.
+
+    One line may stand in a third of all documents.  Lines of at least a thousandth
+    of all rows - a thousand at most - are looked up by a broadcast, the others by
+    a shuffle.
+    """
+    cut = F.lit(max(1, lines.count() // 1000))
+    hot = often.where(F.col("docs") >= cut).select("host", "line")
+    rest = often.where(F.col("docs") < cut).select("host", "line")
+    rows = lines.join(F.broadcast(hot), ["host", "line"], "left_semi").unionByName(lines.join(rest, ["host", "line"], "left_semi"))
     # Repeated rows (same id and text) bring each line several times: the sum is divided by that.
     words = F.sum("words") * F.size(F.collect_set("at")) / F.count("*")
-    return rows.join(often, ["host", "line", "salt"]).groupBy("id", "key").agg(words.cast("long").alias("removed_words"), F.collect_set("line").alias("lines"))
+    return rows.groupBy("id", "key").agg(words.cast("long").alias("removed_words"), F.collect_set("line").alias("lines"))
 
 
 def without_lines(text: Column, hashes: Column) -> Column:
@@ -156,25 +152,18 @@ def without_lines(text: Column, hashes: Column) -> Column:
     return F.when(hashes.isNull(), text).otherwise(F.array_join(stays, "\n"))
 
 
-def rate(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    max_share: float = 0.1,
-    min_docs: int = 20,
-    max_removed: float = 0.5,
-    max_docs: int | None = None,
-) -> DataFrame:
+def rate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, max_removed: float = 0.5) -> DataFrame:
     """Per row: the id, the base counts, removed_words, kept and clean_text, the text without frequent lines.
 
-    Kept: the base rules hold and frequent lines hold no more than ``max_removed``
-    of the words.  Rows with the same id and text are copies of one document and
-    get the same verdict.
+    Kept: the base rules hold and frequent lines, those of more than ``max_docs``
+    documents of a host, have no more than ``max_removed`` of the words.  Rows with
+    the same id and text are copies of one document and get the same verdict; a
+    null or empty text fails.
     """
     src = df.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("__t"), F.xxhash64(f"`{text_col}`").alias("__key"))
     base = base_counts(src, "__t")
-    hit = depleted(df, id_col, text_col, host_col, max_share, min_docs, max_docs=max_docs)
+    lines = materialize(lines_of(df, id_col, text_col, host_col), "quality-lines")
+    hit = depleted(lines, frequent_lines(lines, max_docs))
     joined = base.join(hit, base[id_col].eqNullSafe(hit["id"]) & (base["__key"] == hit["key"]), "left").drop("id", "key", "__key")
     removed = F.coalesce("removed_words", F.lit(0)).cast("long")
     kept = ~F.col("base_failed") & (removed <= max_removed * F.col("n_words"))

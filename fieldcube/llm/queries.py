@@ -28,8 +28,7 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM h, (VALUES (0)
 l AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d),
 ln AS (SELECT doc_id, host, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln GROUP BY doc_id),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
-often AS (SELECT host, norm FROM ln JOIN hosts USING (host) GROUP BY host, norm, n HAVING count(DISTINCT doc_id) >= 20 AND count(DISTINCT doc_id) > 0.1 * n),
+often AS (SELECT host, norm FROM ln GROUP BY host, norm HAVING count(DISTINCT doc_id) > 3),
 rem AS (SELECT doc_id, sum(len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS removed FROM ln JOIN often USING (host, norm) GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
