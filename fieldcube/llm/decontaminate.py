@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import Memo, append_columns, documents, materialize, table
+from .util import Memo, Scratch, append_columns, documents, materialize, table
 
 WORD = re.compile(r"[^\W_]+")
 END = re.compile(r"[.!?](?=\s)|\n")
@@ -61,46 +62,39 @@ class Index:
     classes: list[Class]
 
 
-def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, block: int = 8, max_items: int = 50_000, least: int = 64) -> list[Index]:
-    """Indexes over all test items, each of at most about ``max_items``, which bounds what is broadcast.
+def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", max_items: int = 50_000, **options) -> Iterator[Index]:
+    """Indexes over all test items, one after the other, each of at most about ``max_items``, which bounds what the driver holds and broadcasts.
 
     Document frequencies and the mean length are those of all items.  Items
     without words (null or empty) match nothing; repeated rows count once.
     """
     rows = items.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").distinct()
-    n = rows.count()
-    if n <= max_items:
-        shards, frequency, mean = [rows], None, 0.0
-    else:
-        fields = [T.StructField("words", T.ArrayType(T.StringType()))]
-        rows = append_columns(rows, "text", lambda: lambda texts: [[words(t) for t in texts]], fields)
-        rows = materialize(rows.withColumn("key", F.xxhash64(F.col("id").cast("string"), "text")), "test-items")
-        n, mean = rows.where(F.size("words") > 0).agg(F.count("*"), F.avg(F.size("words"))).first()
-        parts = -(-n // max_items)
-        shards = [rows.where(F.pmod("key", F.lit(parts)) == k) for k in range(parts)]
-        frequency = rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    out = []
-    for shard in shards:
+    fields = [T.StructField("words", T.ArrayType(T.StringType()))]
+    rows = append_columns(rows, "text", lambda: lambda texts: [[words(t) for t in texts]], fields)
+    rows = materialize(rows.withColumn("key", F.xxhash64(F.col("id").cast("string"), "text")).where(F.size("words") > 0), "test-items")
+    n, mean = rows.agg(F.count("*"), F.avg(F.size("words"))).first()
+    frequency = rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    parts = -(-n // max_items)
+    for k in range(parts):
+        shard = rows.where(F.pmod("key", F.lit(parts)) == k)
+        here = shard.select(F.explode("words").alias("term")).distinct()
+        df = {r.term: r.df for r in frequency.join(here, "term", "left_semi").collect()}
         got = sorted((str(r.id), r.text, r.id) for r in shard.select("id", "text").collect())
-        bags = [(Counter(words(text)), i) for i, (_, text, _) in enumerate(got)]
-        bags = [x for x in bags if x[0]]
-        if not bags:
-            continue
-        if frequency is None:
-            df = Counter(t for bag, _ in bags for t in bag)
-            n, mean = len(bags), sum(bag.total() for bag, _ in bags) / len(bags)
-        else:
-            here = shard.select(F.explode("words").alias("term")).distinct()
-            df = {r.term: r.df for r in frequency.join(here, "term", "left_semi").collect()}
-        by: dict[int, list] = {}
-        for bag, i in bags:
-            size = bag.total()
-            w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * size / mean)) for t, f in bag.items()}
-            own = sum(w.values())
-            stride = max(least, 1 << (size - 1).bit_length())
-            by.setdefault(stride, []).extend((t, i, x / own) for t, x in w.items())
-        out.append(Index([r[2] for r in got], [question_answer(r[1]) for r in got], [_class(k, v, block) for k, v in sorted(by.items())]))
-    return out
+        if got:
+            yield index_of(got, df, n, mean, **options)
+
+
+def index_of(got: list[tuple], df: dict[str, int], n: int, mean: float, k1: float = 1.2, b: float = 0.75, block: int = 8, least: int = 64) -> Index:
+    """The index of (key, text, id) rows.  df, n, mean: document frequencies, number and mean length of all items."""
+    by: dict[int, list] = {}
+    for i, (_, text, _) in enumerate(got):
+        bag = Counter(words(text))
+        size = bag.total()
+        w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * size / mean)) for t, f in bag.items()}
+        own = sum(w.values())
+        stride = max(least, 1 << (size - 1).bit_length())
+        by.setdefault(stride, []).extend((t, i, x / own) for t, x in w.items())
+    return Index([r[2] for r in got], [question_answer(r[1]) for r in got], [_class(k, v, block) for k, v in sorted(by.items())])
 
 
 def _class(stride: int, postings: list, block: int) -> Class:
@@ -155,74 +149,83 @@ class Terms(Memo):
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def search(c: Class, texts: list[str], least: float, terms: Terms) -> list[tuple[int, int, int, float]]:
+def search(c: Class, texts: list[str], least: float, terms: Terms, most: int = 1 << 20) -> list[tuple[int, int, int, float]]:
     """(document, chunk, item, score) of every passage whose normalised BM25 score reaches ``least``.
 
-    A document is cut into chunks of ``stride`` words; two neighbouring chunks are
-    a passage, in which a term counts once a chunk.  Passages are bounded first by
-    the terms' largest impacts, then block by block; only blocks that pass are
-    scored, by their postings.  A passage that scores nothing in its first chunk is
-    reported as the one that starts at its second.
+    A document is cut into chunks of ``stride`` words; a chunk and the next one are
+    a passage, in which a term counts once a chunk.  Block-max WAND: a passage's
+    terms are put in the order of their largest impacts, and those that cannot
+    reach ``least`` together open no block.  The others' blocks are bounded with
+    the block maxima of all terms, looked up in those blocks only; postings are
+    read where that bound reaches ``least``, the rest is skipped.  Passages go in
+    slices that open about ``most`` blocks, which bounds the memory.
     """
-    docs = texts
     tid = [terms.of(t) for t in texts]
-    chunks = np.array([-(-len(d) // c.stride) for d in tid])
+    chunks = np.array([-(-len(d) // c.stride) for d in tid], np.int64)
     start = np.r_[0, np.cumsum(chunks)]
-    chunk = np.concatenate([start[i] + np.arange(len(x)) // c.stride for i, x in enumerate(tid)]) if docs else np.zeros(0, int)
-    term = np.concatenate(tid) if docs else np.zeros(0, int)
-    chunk, term = chunk[term >= 0], term[term >= 0]
-    total = int(start[-1])
-    if not len(term):
+    total, kinds = int(start[-1]), len(c.terms)
+    if not total:
         return []
-    key = np.unique(chunk * len(c.terms) + term)
-    chunk, term = key // len(c.terms), key % len(c.terms)
-    doc = np.repeat(np.arange(len(docs)), chunks)
-    follows = np.r_[doc[1:] == doc[:-1], False]  # chunk k + 1 is of the same document
-
-    def passages(x: np.ndarray) -> np.ndarray:
-        """Sums over each chunk and the next one."""
-        out = x.copy()
-        out[:-1][follows[:-1]] += x[1:][follows[:-1]]
-        return out
-
-    bound = passages(np.bincount(chunk, weights=c.top[term], minlength=total)) >= least
-    live = bound | np.r_[False, (bound & follows)[:-1]]
-    keep = live[chunk]
-    chunk, term = chunk[keep], term[keep]
+    chunk = np.concatenate([start[i] + np.arange(len(x)) // c.stride for i, x in enumerate(tid)])
+    term = np.concatenate(tid)
+    key = np.unique(chunk[term >= 0] * kinds + term[term >= 0])
+    chunk, term = key // kinds, key % kinds
+    doc = np.repeat(np.arange(len(texts)), chunks)
+    # Terms of each passage: those of its chunk, and those of the next chunk of the same document.
+    back = np.flatnonzero((chunk > 0) & (doc[np.maximum(chunk, 1) - 1] == doc[chunk]))
+    passage, term = np.r_[chunk, chunk[back] - 1], np.r_[term, term[back]]
+    live = np.bincount(passage, weights=c.top[term], minlength=total)[passage] >= least
+    passage, term = passage[live], term[live]
+    order = np.lexsort((c.top[term], passage))
+    passage, term = passage[order], term[order]
     if not len(term):
         return []
-    entry, which = _spread(c.term_at, term)
-    cell = chunk[which] * c.blocks + c.block[entry]
-    cells, place = (None, cell) if total * c.blocks <= 1 << 22 else np.unique(cell, return_inverse=True)
-    sums = np.bincount(place, weights=c.best[entry], minlength=total * c.blocks if cells is None else 0)
-    if cells is None:
-        passing = passages(sums.reshape(total, c.blocks)) >= least
-        passing |= np.vstack([np.zeros((1, c.blocks), bool), (passing & follows[:, None])[:-1]])
-        ok = passing.ravel()[cell]
-    else:
-        after = np.searchsorted(cells, cells + c.blocks)
-        same = (after < len(cells)) & (cells[np.minimum(after, len(cells) - 1)] == cells + c.blocks) & follows[cells // c.blocks]
-        both = sums + np.where(same, sums[np.minimum(after, len(cells) - 1)], 0)
-        passing = both >= least
-        # A chunk is scored too if the passage that begins one chunk earlier passes.
-        before = np.searchsorted(cells, cells - c.blocks)
-        prior = (before < len(cells)) & (cells[np.minimum(before, len(cells) - 1)] == cells - c.blocks) & (cells >= c.blocks) & follows[np.maximum(cells // c.blocks - 1, 0)]
-        lone = np.r_[0.0, sums][1:] >= least
-        passing = passing | (prior & passing[np.minimum(before, len(cells) - 1)]) | lone
-        ok = passing[place]
-    entry, chunk = entry[ok], chunk[which][ok]
-    post, which = _spread(c.entry_at, entry)
-    items = int(c.item.max()) + 1
-    key, place = np.unique(chunk[which] * items + c.item[post], return_inverse=True)
-    value = np.bincount(place, weights=c.impact[post]) if len(key) else np.zeros(0)
-    after = np.searchsorted(key, key + items)
-    safe = np.minimum(after, max(len(key) - 1, 0))
-    same = (after < len(key)) & follows[key // items]
-    if len(key):
-        same &= key[safe] == key + items
-        value = value + np.where(same, value[safe], 0)
-    hit = np.flatnonzero(value >= least)
-    return [(int(doc[k // items]), int(k // items - start[doc[k // items]]), int(k % items), float(v)) for k, v in zip(key[hit], value[hit], strict=True)]
+    first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+    sums = np.cumsum(c.top[term])
+    within = sums - np.repeat(np.r_[0.0, sums[first[1:] - 1]], np.diff(np.r_[first, len(term)]))
+    opens = within >= least - 1e-9
+    work = np.add.reduceat(np.where(opens, c.term_at[term + 1] - c.term_at[term], 0), first)
+    ends = np.r_[first[1:], len(term)]
+    out, at = [], 0
+    while at < len(first):
+        stop = max(at + 1, int(np.searchsorted(np.cumsum(work[at:]), most, "right")) + at)
+        rows = slice(first[at], ends[stop - 1])
+        out += _scored(c, passage[rows], term[rows], opens[rows], least, most)
+        at = stop
+    return [(int(doc[p]), int(p - start[doc[p]]), i, v) for p, i, v in out]
+
+
+def _scored(c: Class, passage: np.ndarray, term: np.ndarray, opens: np.ndarray, least: float, most: int) -> list[tuple[int, int, float]]:
+    """(passage, item, score) that reach ``least``, in the blocks that the opening terms have."""
+    entry, which = _spread(c.term_at, term[opens])
+    cells = np.unique(passage[opens][which] * c.blocks + c.block[entry])
+    first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+    ends = np.r_[first[1:], len(passage)]
+    own = np.searchsorted(passage[first], cells // c.blocks)
+    n = (ends - first)[own]
+    # Where (term, block) stands among the entries, whose keys ascend.
+    keys = np.repeat(np.arange(len(c.term_at) - 1), np.diff(c.term_at)) * c.blocks + c.block
+    out, at = [], 0
+    while at < len(cells):
+        stop = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), 4 * most, "right")) + at)
+        part = slice(at, stop)
+        cell = np.repeat(np.arange(stop - at), n[part])
+        row = np.repeat(first[own[part]], n[part]) + np.arange(len(cell)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+        want = term[row] * c.blocks + (cells[part] % c.blocks)[cell]
+        e = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        there = keys[e] == want
+        e, cell = e[there], cell[there]
+        keep = np.bincount(cell, weights=c.best[e], minlength=stop - at)[cell] >= least - 1e-9
+        e, cell = e[keep], cell[keep]
+        at = stop
+        if len(e):
+            post, which = _spread(c.entry_at, e)
+            items = int(c.item.max()) + 1
+            key, place = np.unique((cells[part] // c.blocks)[cell[which]] * items + c.item[post], return_inverse=True)
+            value = np.bincount(place, weights=c.impact[post])
+            hit = np.flatnonzero(value >= least)
+            out += zip((key[hit] // items).tolist(), (key[hit] % items).tolist(), value[hit].tolist(), strict=True)
+    return out
 
 
 def overlap(part: list[str], passage: list[str], n: int = 3) -> float:
@@ -261,7 +264,7 @@ def leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str
     """
     spark = df.sparkSession
     fields = [T.StructField("leaks", T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("question", T.DoubleType()), T.StructField("answer", T.DoubleType()), T.StructField("word", T.LongType())])))]
-    out = None
+    out, scratch = None, Scratch(spark, "leaks")
     for index in build(items, item_col, **options):
         shared = spark.sparkContext.broadcast(index)
 
@@ -276,8 +279,11 @@ def leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str
             return run
 
         if out is None:
-            out = append_columns(df, text_col, factory, fields, None if keep is None else [*keep, text_col])
-        else:  # more items than one index may hold
+            out, last = append_columns(df, text_col, factory, fields, None if keep is None else [*keep, text_col]), shared
+        else:  # more items than one index may hold: one index at a time
+            out = scratch.keep(out, "leaks")
+            last.destroy()
+            last = shared
             out = append_columns(out.withColumnRenamed("leaks", "__more"), text_col, factory, fields).withColumn("leaks", F.concat("__more", "leaks")).drop("__more")
     if out is None:
         out = df.withColumn("leaks", F.array().cast(fields[0].dataType))
