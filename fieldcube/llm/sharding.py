@@ -45,8 +45,9 @@ def interleave(
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     ident, crc = F.col(f"`{id_col}`"), F.crc32(text)
     shuffle = F.xxhash64(ident.cast("string"), crc, F.lit(seed))
-    rows = df.select(ident.alias("id"), F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")).alias("stratum"), (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"), shuffle.alias("h"))
-    rows = materialize(rows, "shard-rows")
+    rows = df.select(ident.alias("id"), F.concat(F.lit("="), F.col(f"`{stratum_col}`").cast("string")).alias("named"), (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"), shuffle.alias("h"))
+    # A null stratum is no name, an empty one the name "=".
+    rows = materialize(rows.withColumn("stratum", F.coalesce("named", F.lit(""))), "shard-rows")
     sizes = rows.groupBy("stratum").agg(F.count("*").alias("n"))
     total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     ties = [F.col("h"), F.col("id"), F.col("size"), F.col("text_crc32")]
@@ -64,6 +65,7 @@ def interleave(
     # Row p goes to the shard s with first(s) <= p < first(s + 1), first(s) = ceil(s * rows / shards).
     shard = F.expr(f"(position * {n_shards}L) div {max(1, total)}L").cast("int")
     first = F.expr(f"(cast(shard as bigint) * {max(1, total)}L + {n_shards - 1}L) div {n_shards}L")
+    placed = placed.withColumn("stratum", F.substring("named", 2, 1 << 30)).drop("named")
     return placed.withColumn("shard", shard).withColumn("slot", F.col("position") - first)
 
 
