@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-import os
 import re
 import struct
 
@@ -25,47 +23,44 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def merges(path: str):
-    """A function from a text to ids that equals the tokenizer file's, without special tokens.
-
-    Beside a .json file the same vocabulary may lie as .tiktoken ranks; merging by
-    these gives the same ids several times faster (a test compares the two).
-    """
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if path.endswith(".json") and os.path.exists(ranks):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-
-
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A text is cut at spaces that stand alone, where a byte-level tokenizer always
-    begins a new pre-token; the ids of " " and what follows are remembered.
+    begins a new pre-token; the ids of " " and what follows are remembered.  A text
+    that holds an added token of the tokenizer's goes to it as a whole.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
-        self.ids = merges(path)
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        # What stands for a byte in the vocabulary: bytes that print stand for themselves, the others follow from 256.
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letter = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+        self.marks = {m: self._bytes(m) for m in ".,!?"}
         self.known = Memo(self._after_space, limit)
 
     def _bytes(self, text: str) -> bytes:
-        ids = self.ids(text)
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _after_space(self, part: str) -> bytes | None:
         """None if a space before the part would not stand alone."""
-        return None if not part or part[0].isspace() or part[-1].isspace() else self._bytes(" " + part)
+        if not part or part[0].isspace() or part[-1].isspace():
+            return None
+        if part.isalpha():  # one pre-token: the model alone
+            found = self.tokenizer.model.tokenize("".join(map(self.letter.__getitem__, f" {part}".encode())))
+            return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        if part[-1] in self.marks and part[:-1].isalpha():  # two: the word and the mark
+            return self.known[part[:-1]] + self.marks[part[-1]]
+        return self._bytes(" " + part)
 
     def encode(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self._bytes(text)
         first, *rest = text.split(" ")
         if not (first and first[-1].isspace()):
             try:
