@@ -16,7 +16,7 @@ BASE = {
 WEAK = {
     "identifier": ("identifier", r"""(?i)(?:client|account|access|user|app|tenant|key)[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", 0, 1),
     "key": ("secret", r"""(?i)(?:key|pwd|pass|credential|bearer)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}""", 0, 1),
-    "blob": ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{32,}", 0, 1),
+    "blob": ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{32,}", 0, 1),
     "endpoint": ("endpoint", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", 0, 1),
     "address": ("endpoint", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])", 0, 1),
 }
@@ -80,11 +80,11 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     cover = F.sequence(F.floor(F.col("start") / window), F.floor((F.col("end") - 1) / window))
     base = rows.where("base").select(F.col("id").alias("b_id"), F.col("key").alias("b_key"), F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.explode(cover).alias("b_bucket"))
     same = F.col("id").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")) & (F.col("bucket") == F.col("b_bucket"))
-    weak = weak.join(base, same & (F.col("start") >= F.col("b_start")) & (F.col("start") < F.col("b_end")), "left_anti")
+    weak = weak.join(base.hint("merge"), same & (F.col("start") >= F.col("b_start")) & (F.col("start") < F.col("b_end")), "left_anti")
     at = F.floor(F.col("start") / window)
     near = rows.select(F.col("id").alias("b_id"), F.col("key").alias("b_key"), F.col("start").alias("b_start"), F.col("role").alias("b_role"), F.explode(F.array(at - 1, at, at + 1)).alias("b_bucket"))
     complete = (F.col("role") == "secret") != (F.col("b_role") == "secret")
-    weak = weak.join(near, same & complete & (F.abs(F.col("start") - F.col("b_start")) <= window), "left_semi")
+    weak = weak.join(near.hint("merge"), same & complete & (F.abs(F.col("start") - F.col("b_start")) <= window), "left_semi")
     return rows.where("base").unionByName(weak.drop("bucket")).drop("role")
 
 
@@ -103,7 +103,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     by = by.withColumnsRenamed({"id": "f_id", "key": "f_key"})
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"))
-    out = rows.join(by, F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), "left")
+    out = rows.join(by.hint("merge"), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), "left")
     out = out.withColumn("found", F.coalesce("found", F.array().cast(by.schema["found"].dataType)))
     counts = {f"n_{kind}": F.size(_of_kind(F.col("found"), kind)).cast("long") for kind in BASE}
     base = F.filter("found", lambda x: x["base"])
@@ -123,7 +123,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     by = found.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__found")).withColumnsRenamed({"id": "__id", "key": "__key"})
     text = F.col(f"`{text_col}`")
     on = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__key"))
-    out = df.join(by, on, "left")
+    out = df.join(by.hint("merge"), on, "left")
     zero = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("done"))
 
     def step(s: Column, x: Column) -> Column:
