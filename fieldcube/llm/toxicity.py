@@ -14,13 +14,20 @@ from pyspark.sql import types as T
 from .util import Memo, append_columns, documents, sample_rows, table
 
 WORD = re.compile(r"[^\W\d_]+")
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: Lengths of the beginnings of words that are features too.
+STEMS = (4, 5)
 
 
 def bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
 
+def buckets(word: str) -> list[int]:
+    """Features of a word: itself, and its beginnings, which stand for a stem whatever its ending."""
+    return [bucket(word), *(bucket(f"^{word[:n]}") for n in STEMS if len(word) > n)]
+
+
 class Severity:
     """P(grade > k) = sigmoid(w.x - threshold_k): one weight vector, ordered thresholds."""
 
@@ -32,13 +39,13 @@ class Severity:
 
 
 def features(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep`` with two arrays: hashed words of the whole text and their counts."""
+    """``keep`` with two arrays: hashed words and stems of the whole text and their counts."""
 
     def factory():
-        memo = Memo(bucket)
+        memo = Memo(buckets)
 
         def run(texts: list) -> list:
-            counts = [Counter(memo[w] for w in WORD.findall((t or "").lower())) for t in texts]
+            counts = [Counter(b for w in WORD.findall((t or "").lower()) for b in memo[w]) for t in texts]
             return [[list(c) for c in counts], [list(c.values()) for c in counts]]
 
         return run
@@ -63,13 +70,16 @@ def train(
 
     The labels only tell toxic from clean.  The grades of toxic documents are made
     from the training rows: words at least eight times as common in toxic documents
-    are markers, and the toxic documents' marker counts are cut into ``grades``
-    parts.  Rows without a label are left out; without any toxic row all weights
-    are 0 and the severity is that of the clean class.
+    or stems are markers, and the toxic documents' marker counts are cut into ``grades``
+    parts.  Rows without a label are left out; an id with both labels is toxic; a
+    document that is repeated counts once, by the text that sorts first.  Without
+    any toxic row all weights are 0 and the severity is that of the clean class.
     """
-    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").dropDuplicates(["id"])
+    labels = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
+    labels = labels.groupBy("id").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
     labels = sample_rows(labels, "id", max_rows)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(labels), "id")
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
     got = features(rows, "text", ["y"]).toPandas()
     y = (got.y.to_numpy() > 0).astype(int)
     if not len(got) or y.min() == y.max():
@@ -119,19 +129,14 @@ def score(df: DataFrame, model: Severity, text_col: str = "text", keep: list[str
 
     def factory():
         m = shared.value
-        memo = Memo(lambda w: m.weights.get(bucket(w), 0.0))
+        memo = Memo(lambda w: [b for b in buckets(w) if b in m.weights])
 
         def run(texts: list) -> list:
             eta = np.zeros(len(texts))
             for i, t in enumerate(texts):
                 if t:
-                    n = Counter(w for w in WORD.findall(t.lower()) if memo[w])
-                    # Words that share a bucket are one feature.
-                    by: dict[int, list] = {}
-                    for word, k in n.items():
-                        e = by.setdefault(bucket(word), [memo[word], 0])
-                        e[1] += k
-                    eta[i] = sum(w * np.log1p(k) for w, k in by.values())
+                    n = Counter(b for w in WORD.findall(t.lower()) for b in memo[w])
+                    eta[i] = sum(m.weights[b] * np.log1p(k) for b, k in n.items())
             p = m.above(eta)
             edges = np.hstack([np.ones((len(texts), 1)), p, np.zeros((len(texts), 1))])
             return [p.sum(1).tolist(), p[:, 0].tolist(), (edges[:, :-1] - edges[:, 1:]).argmax(1).tolist(), (p[:, 0] >= 0.5).tolist()]
