@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcube.llm import decontaminate, jaccard, langid, packing, secrets
-from fieldcube.llm.util import materialize, table
+from fieldcube.llm.util import materialize, set_aside, table
 
 #: The least posterior of the predicted language that a document needs.
 LEAST_SCORE = 0.5
@@ -19,8 +19,8 @@ LEAST_SCORE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without letters or without a clear language go."""
     model = langid.train(docs.where(~langid.held_out()))
-    rated = langid.identify(docs, model)
-    return rated.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    rows, own = set_aside(docs, "lang_pred", "score")
+    return own(langid.identify(rows, model).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    rows, own = set_aside(docs, "leaks")
+    return own(decontaminate.leaks(rows, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
