@@ -154,11 +154,12 @@ def search(c: Class, texts: list[str], least: float, terms: Terms, most: int = 1
 
     A document is cut into chunks of ``stride`` words; a chunk and the next one are
     a passage, in which a term counts once a chunk.  Block-max WAND: a passage's
-    terms are put in the order of their largest impacts, and those that cannot
-    reach ``least`` together open no block.  The others' blocks are bounded with
-    the block maxima of all terms, looked up in those blocks only; postings are
-    read where that bound reaches ``least``, the rest is skipped.  Passages go in
-    slices that open about ``most`` blocks, which bounds the memory.
+    terms are put in the order of their largest impacts, and the least ones, which
+    cannot reach half of ``least`` together, open no block.  A block that the others
+    open goes on if their block maxima and what the least ones could add reach
+    ``least``; then the maxima of the least ones are looked up in that block alone,
+    and postings are read where the whole bound still reaches ``least``.  Passages
+    go in slices that open about ``most`` blocks, which bounds the memory.
     """
     tid = [terms.of(t) for t in texts]
     chunks = np.array([-(-len(d) // c.stride) for d in tid], np.int64)
@@ -183,8 +184,8 @@ def search(c: Class, texts: list[str], least: float, terms: Terms, most: int = 1
     first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
     sums = np.cumsum(c.top[term])
     within = sums - np.repeat(np.r_[0.0, sums[first[1:] - 1]], np.diff(np.r_[first, len(term)]))
-    opens = within >= least - 1e-9
-    work = np.add.reduceat(np.where(opens, c.term_at[term + 1] - c.term_at[term], 0), first)
+    opens = within >= least / 2
+    work = np.add.reduceat(np.where(opens, c.term_at[term + 1] - c.term_at[term], 0), first) + c.blocks // 4
     ends = np.r_[first[1:], len(term)]
     out, at = [], 0
     while at < len(first):
@@ -197,11 +198,14 @@ def search(c: Class, texts: list[str], least: float, terms: Terms, most: int = 1
 
 def _scored(c: Class, passage: np.ndarray, term: np.ndarray, opens: np.ndarray, least: float, most: int) -> list[tuple[int, int, float]]:
     """(passage, item, score) that reach ``least``, in the blocks that the opening terms have."""
-    entry, which = _spread(c.term_at, term[opens])
-    cells = np.unique(passage[opens][which] * c.blocks + c.block[entry])
     first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
     ends = np.r_[first[1:], len(passage)]
-    own = np.searchsorted(passage[first], cells // c.blocks)
+    number = np.repeat(np.arange(len(first)), ends - first)
+    entry, which = _spread(c.term_at, term[opens])
+    bound = np.bincount(number[opens][which] * c.blocks + c.block[entry], weights=c.best[entry], minlength=len(first) * c.blocks).reshape(len(first), -1)
+    rest = np.bincount(number[~opens], weights=c.top[term[~opens]], minlength=len(first))
+    own, block = np.nonzero((bound > 0) & (bound + rest[:, None] >= least - 1e-9))
+    cells = passage[first[own]] * c.blocks + block
     n = (ends - first)[own]
     # Where (term, block) stands among the entries, whose keys ascend.
     keys = np.repeat(np.arange(len(c.term_at) - 1), np.diff(c.term_at)) * c.blocks + c.block
