@@ -14,6 +14,8 @@ from . import functions as fn
 
 #: Labels of one dimension that may be brought to the driver.
 LABEL_LIMIT = 100_000
+#: Elements of one array that a task may get by their key.
+RUN = 100_000
 
 
 class Cube:
@@ -78,7 +80,11 @@ class Cube:
     # Selection
 
     def select(self, criteria: dict | None = None, drop: bool = False, **more) -> Cube:
-        """Cells by label: one label drops the dimension (kept as a scalar unless ``drop``), a list keeps it in that order."""
+        """Cells by label: one label drops the dimension (kept as a scalar unless ``drop``), a list keeps it in that order.
+
+        A label that no cell has is a KeyError.  Where the labels are not known, a
+        query for the wanted ones alone finds out.
+        """
         df, dims, coords, scalars = self.df, list(self.dims), dict(self.coords), dict(self.scalars)
         for dim, want in {**(criteria or {}), **more}.items():
             if dim not in dims:
@@ -86,7 +92,8 @@ class Cube:
                     continue
                 raise KeyError(f"{dim} is no dimension")
             some = list(want) if isinstance(want, (list, tuple, range)) else [want]
-            if dim in coords and (unknown := [x for x in some if x not in coords[dim]]):
+            held = coords[dim] if dim in coords else [r[0] for r in df.where(F.col(dim).isin(some)).select(dim).distinct().collect()]
+            if unknown := [x for x in some if x not in held]:
                 raise KeyError(f"{dim} has no {unknown}")
             df = df.where(F.col(dim).isin(some))
             if isinstance(want, (list, tuple, range)):
@@ -118,6 +125,20 @@ class Cube:
         test = fn.comparison(compare)
         return self._paired(other, lambda a, b: F.when(test(b, F.lit(threshold)), F.lit(replacement)).otherwise(a), "label")
 
+    def set_metadata(self, column: str, entries: dict | None = None, **more) -> Cube:
+        """Entries of the string map ``column`` set or replaced; a null map, or a cube without that column, begins empty.
+
+        A value may be a Column; None takes the entry away.  The map is one of the
+        cube's value columns from then on.
+        """
+        want = {**(entries or {}), **more}
+        empty = F.create_map().cast("map<string,string>")
+        old = F.coalesce(F.col(column), empty) if column in self.df.columns else empty
+        kept = F.map_filter(old, lambda k, _: ~k.isin([str(k) for k in want])) if want else old
+        new = [y for k, v in want.items() if v is not None for y in (F.lit(str(k)), (v if isinstance(v, Column) else F.lit(str(v))).cast("string"))]
+        df = self.df.withColumn(column, F.map_concat(kept, F.create_map(*new)) if new else kept)
+        return self._new(df, values=[*self.values, *([] if column in self.values else [column])])
+
     # Shape
 
     def map(self, function: Callable[[Column], Column]) -> Cube:
@@ -183,8 +204,12 @@ class Cube:
         from pyspark.sql import Window
 
         before = Window.partitionBy(*rest).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
-        df = placed.join(offsets, [*rest, "__at"]).withColumn(inner, (F.col("__before") + F.col(inner)).cast("long"))
+        offsets = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+        # A cell's array may be long: its elements meet their offset in runs of bounded length, not in one task.
+        runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("__size") - 1) / RUN))
+        offsets = offsets.withColumn("__run", F.explode(runs)).drop("__size")
+        placed = placed.withColumn("__run", F.floor(F.col(inner) / RUN))
+        df = placed.join(offsets, [*rest, "__at", "__run"]).withColumn(inner, (F.col("__before") + F.col(inner)).cast("long"))
         return self._new(df, dims=rest)
 
     def broadcast(self, other: Cube, exclude: Sequence[str] = ()) -> Cube:

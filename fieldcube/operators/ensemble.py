@@ -85,18 +85,21 @@ def extreme(forecast: Cube, clim: Cube, dim: str = "member", sot: Sequence[int]
     rest = [d for d in forecast.dims if d != dim]
     keys = [*clim.dims, *clim.inner]
     w = efi_weights(parts)
-    below = F.aggregate(
-        F.arrays_zip(F.col("q"), F.array(*[F.lit(x) for x in w]).alias("w")),
-        F.lit(0.0),
-        lambda s, x: s + F.when(F.col(value) < x["q"], x["w"]).otherwise(0.0),
-    )
-    rows = forecast.df.join(clim.df, keys).withColumn("__below", below)
-    whole = sum(x * k / parts for k, x in enumerate(w))
-    aggs: list[Column] = [((F.lit(whole) - F.avg("__below")) * (2 / math.pi)).alias("efi"), F.first("q").alias("__q")]
+    # A cell's members come together first, so its quantiles meet it once and not once a member.
+    aggs: list[Column] = [F.collect_list(value).alias("__all"), F.count(F.lit(1)).alias("__n")]
     aggs += [F.percentile(value, k / 100).alias(f"__f{k}") for k in sot]
-    df = rows.groupBy(*rest, *forecast.inner).agg(*aggs)
+    df = forecast.df.groupBy(*rest, *forecast.inner).agg(*aggs).join(clim.df.select(*keys, F.col("q").alias("__q")), keys)
+
+    def below(v: Column) -> Column:
+        weighed = F.arrays_zip(F.col("__q").alias("q"), F.array(*[F.lit(x) for x in w]).alias("w"))
+        return F.aggregate(weighed, F.lit(0.0), lambda s, x: s + F.when(v < x["q"], x["w"]).otherwise(0.0))
+
+    whole = sum(x * k / parts for k, x in enumerate(w))
+    share = F.aggregate("__all", F.lit(0.0), lambda s, v: s + below(v)) / F.col("__n")
+    df = df.withColumn("efi", (F.lit(whole) - share) * (2 / math.pi))
     for k in sot:
         tail = 1 if k < 50 else 99
         far, near = (F.get("__q", F.lit(x * parts // 100)) for x in (tail, k))
         df = df.withColumn(f"sot{k}", F.when(F.abs(far - near) >= eps, (F.col(f"__f{k}") - far) / F.when(far != near, far - near)))
+    df = df.select(*rest, *forecast.inner, "efi", *[f"sot{k}" for k in sot])
     return forecast._new(df, dims=rest, values=["efi", *[f"sot{k}" for k in sot]])

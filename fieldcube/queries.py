@@ -287,9 +287,8 @@ def extreme_index(spark, sf):
 
 @query("SELECT count(*) AS fields, count(DISTINCT n_regionkey) AS regions FROM nation")
 def metadata_override(spark, sf):
-    n = _table(spark, sf, "nation").select(F.create_map(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("edition"), F.lit("2")).alias("meta"))
-    new = F.create_map(F.lit("edition"), F.lit("1"))
-    n = n.select(F.map_concat(F.map_filter("meta", lambda k, _: ~F.map_contains_key(new, k)), new).alias("meta"))
+    n = _table(spark, sf, "nation").withColumn("meta", F.create_map(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("edition"), F.lit("2")))
+    n = Cube(n, ["n_nationkey"], [], ["meta"]).set_metadata("meta", edition=1).df
     return n.where(F.col("meta")["edition"] == "1").agg(F.count("*").alias("fields"), F.count_distinct(F.col("meta")["region"]).alias("regions"))
 
 

@@ -240,3 +240,34 @@ def test_stream(spark, tmp_path):
     q = windowed(stream, "ts", "5 minutes", "sum", "v", ["k"], late="1 minute").writeStream.format("memory").queryName("w").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, windowed(rows, "ts", "5 minutes", "sum", "v", ["k"]).collect()))
+
+
+def test_select_of_a_label_that_no_cell_has(spark):
+    """An error whether the labels are known or not."""
+    df = spark.createDataFrame([(a, b, float(a * b)) for a in range(3) for b in range(2)], "x long, y long, v double")
+    for coords in (None, {"x": [0, 1, 2]}):
+        cube = Cube(df, ["x", "y"], coords=coords)
+        assert cube.select(x=[0, 2]).df.count() == 4 and cube.select(x=1).dims == ["y"]
+        for bad in (7, [0, 7]):
+            with pytest.raises(KeyError):
+                cube.select(x=bad)
+
+
+def test_concatenate_in_short_runs(spark, monkeypatch):
+    """Elements meet the offset of their array in runs; arrays of unequal length follow each other."""
+    from fieldcube import cube as module
+
+    monkeypatch.setattr(module, "RUN", 3)
+    rows = [(c, s, i, float(100 * c + 10 * s + i)) for c in range(2) for s in range(3) for i in range(4 + 3 * s)]
+    df = spark.createDataFrame(rows, "c long, s long, i long, v double")
+    got = sorted((r.c, r.i, r.v) for r in Cube(df, ["c", "s"], ["i"]).concatenate("s").df.collect())
+    want = [(c, k, v) for c in range(2) for k, v in enumerate(r[3] for r in rows if r[0] == c)]
+    assert got == want
+
+
+def test_set_metadata(spark):
+    df = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, None)], "x long, meta map<string,string>")
+    got = {r.x: r.meta for r in Cube(df, ["x"], values=["meta"]).set_metadata("meta", {"b": 3}, c=F.col("x") + 1, a=None).df.collect()}
+    assert got == {1: {"b": "3", "c": "2"}, 2: {"b": "3", "c": "3"}}
+    new = Cube(df.select("x").withColumn("v", F.lit(1.0)), ["x"]).set_metadata("info", unit="K")
+    assert new.values == ["v", "info"] and new.df.first().info == {"unit": "K"}
