@@ -19,8 +19,6 @@ ORACLES: dict[str, str] = {}
 #: The embeddings as an ensemble: ten members, steps of ten vectors, elements i.
 E = """WITH e AS (SELECT (vec_id % 10)::BIGINT AS member, (vec_id // 10)::BIGINT AS step,
  (generate_subscripts(embedding, 1) - 1)::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"""
-WINDOWS = {f"w{a}": list(range(a, a + 10)) for a in (0, 5, 10, 15, 20)}
-W = "w(win, a) AS (VALUES ('w0', 0), ('w5', 5), ('w10', 10), ('w15', 15), ('w20', 20))"
 
 
 def query(sql: str | None = None):
@@ -75,11 +73,6 @@ def map_each_member(spark, sf):
     return rounded(ens(spark, sf).map_each(lambda v, k: v * k, "member", [float(k + 1) for k in range(10)]))
 
 
-@query(f"{E} SELECT member, step, i, {R('v * v')} FROM e WHERE member < 2")
-def map_python(spark, sf):
-    return rounded(ens(spark, sf).select(member=[0, 1]).map_arrays(lambda a: a * a))
-
-
 @query(f"{E} SELECT step, i, v FROM e WHERE member = 3")
 def select_label(spark, sf):
     return ens(spark, sf).select(member=3).df
@@ -100,13 +93,6 @@ def take_inner(spark, sf):
     return ens(spark, sf).take("i", [5, 2, 60]).df
 
 
-@query(f"{E} SELECT a.member, a.step, a.i, CASE WHEN b.v <= 0 THEN 0.0 ELSE a.v END AS v FROM e a JOIN e b ON b.member = 0 AND a.step = b.step AND a.i = b.i WHERE a.member = 1")
-def mask_filter(spark, sf):
-    c = ens(spark, sf)
-    one, other = c.select(member=[1]), c.select(member=[0])
-    return one.mask(other._new(other.df.withColumn("member", F.lit(1).cast("long")), coords={"member": [1]}), "<=", 0.0).df
-
-
 @query(f"{E} SELECT member, step, chr(97 + i) AS level, v FROM e WHERE i < 4")
 def expand_inner(spark, sf):
     return ens(spark, sf).expand("level", "i", labels=["a", "b", "c", "d"]).df
@@ -128,30 +114,12 @@ def join_existing(spark, sf):
     return c.select(member=[0, 1]).join(c.select(member=[5]), "member").df
 
 
-@query(f"{E} SELECT 'raw' AS kind, step, i, v FROM e WHERE member = 0 UNION ALL SELECT 'twice', step, i, v * 2 FROM e WHERE member = 0")
-def join_new(spark, sf):
-    c = ens(spark, sf).select(member=0)
-    return c.join(c.map(lambda v: v * 2), "kind", ["raw", "twice"]).df
-
-
-@query(f"{E} SELECT l AS level, member, step, i, v FROM e, (VALUES ('low'), ('high')) AS x(l) WHERE step = 0")
-def broadcast_dims(spark, sf):
-    c = ens(spark, sf).select(step=[0])
-    level = Cube(c.df.limit(0).withColumn("level", F.lit("")), ["level"], [], ["v"], {"level": ["low", "high"]})
-    return c.broadcast(level).df
-
-
 @query(f"{E} SELECT t AS threshold, step, i, {R('avg((v <= t)::INT) * 100')} FROM e, (VALUES (-0.1::DOUBLE), (0.0), (0.1)) AS x(t) GROUP BY ALL")
 def transform_thresholds(spark, sf):
     out = ens(spark, sf).transform_values(lambda v, t: (v <= t).cast("double"), [-0.1, 0.0, 0.1], "threshold").mean("member")
     return rounded(out.map(lambda v: v * 100))
 
 
-@query(f"{E} SELECT k AS power, step, i, {R('v ** k')} FROM e, (VALUES (2), (3)) AS x(k) WHERE member = 4")
-def transform_union(spark, sf):
-    return rounded(ens(spark, sf).select(member=4).transform(lambda c, k: c.power(k), [2, 3], "power"))
-
-
 def _reductions() -> None:
     sql = {"sum": "sum(v)", "mean": "avg(v)", "std": "stddev_pop(v)", "var": "var_pop(v)", "min": "min(v)", "max": "max(v)", "norm": "sqrt(sum(v * v))"}
     for how, x in sql.items():
@@ -201,21 +169,6 @@ def group_season(spark, sf):
     return rounded(c.group("o_orderdate", F.quarter, "sum", "season").df.withColumn("o_totalprice", F.col("o_totalprice").cast("double")), "o_totalprice", digits=2)
 
 
-def _binary() -> None:
-    sql = {"add": "a.v + b.v", "subtract": "a.v - b.v", "multiply": "a.v * b.v", "divide": "a.v / b.v", "diff": "b.v - a.v"}
-    for how, x in sql.items():
-
-        def run(spark, sf, how=how):
-            c = ens(spark, sf)
-            return rounded(c.select(member=[0, 1]).combine(c.select(member=[8, 9]), how))
-
-        QUERIES[f"binary_{how}"] = run
-        ORACLES[f"binary_{how}"] = f"{E} SELECT a.member, a.step, a.i, {R(x)} FROM e a JOIN e b ON b.member = a.member + 8 AND a.step = b.step AND a.i = b.i WHERE a.member < 2"
-
-
-_binary()
-
-
 @query(f"{E} SELECT member, step, i, {R('(v * 3 - 1) / 4')} FROM e")
 def scalar_arithmetic(spark, sf):
     return rounded(ens(spark, sf).multiply(3).subtract(1).divide(4))
@@ -229,12 +182,6 @@ def divide_ieee(spark, sf):
     return q.agg(F.count("*").alias("rows"), F.count_if(F.col("q") == float("inf")).alias("infinite"), F.count_if(F.isnan("q")).alias("nans"))
 
 
-@query(f"{E} SELECT member, step, n, {R('v * n')} FROM e, (VALUES (1), (2), (3)) AS x(n) WHERE i = 0")
-def yields_multiples(spark, sf):
-    c = ens(spark, sf).take("i", 0)
-    return rounded(c.yields([lambda v, k=k: v * k for k in (1, 2, 3)], "n", [1, 2, 3]).df.select("member", "step", "n", "v"))
-
-
 @query(f"{E} SELECT member, step, list(v ORDER BY i)[1:3] AS v FROM e GROUP BY member, step")
 def packed_cells(spark, sf):
     return ens(spark, sf).packed().withColumn("v", F.slice("v", 1, 3))
@@ -247,44 +194,11 @@ def source_parts(spark, sf):
     return from_parts(parts, {"part": list(range(5))}, ["i"]).df.withColumn("part", F.col("part").cast("long"))
 
 
-@query(f"{E}, {W} SELECT member, win AS window, i, min(v) AS v FROM e JOIN w ON step >= a AND step < a + 10 GROUP BY ALL")
-def window_min(spark, sf):
-    return ensemble.window_operation(ens(spark, sf), "min", WINDOWS).df
-
-
-@query(f"{E}, {W}, m AS (SELECT member, win, i, min(v) AS v FROM e JOIN w ON step >= a AND step < a + 10 GROUP BY ALL) SELECT win AS window, i, {R('avg((v <= -0.1)::INT) * 100')} FROM m GROUP BY ALL")
-def window_probability(spark, sf):
-    return rounded(ensemble.threshold_prob(ensemble.window_operation(ens(spark, sf), "min", WINDOWS), "<=", -0.1))
-
-
 @query(f"{E} SELECT step, i, {R('avg(v)', 'mean')}, {R('stddev_pop(v)', 'std')} FROM e GROUP BY step, i")
 def ensms(spark, sf):
     return rounded(ensemble.ensms(ens(spark, sf)), "mean", "std")
 
 
-@query(
-    f"""{E}, {W}, s AS (SELECT member, step, win, i, v FROM e JOIN w ON step >= a AND step < a + 10),
-k AS (SELECT unnest(range(101)) AS k), p AS (SELECT k, 2 * asin(sqrt(k / 100.0::DOUBLE)) AS a FROM k),
-wt AS (SELECT k, (lead(a, 1, a) OVER (ORDER BY k) - lag(a, 1, a) OVER (ORDER BY k)) / 2 AS w FROM p),
-c AS (SELECT win, i, quantile_cont(v, [x / 100.0::DOUBLE for x in range(101)]) AS q FROM s WHERE step % 2 = 0 GROUP BY win, i),
-f AS (SELECT member, win, i, avg(v) AS v FROM s WHERE step % 2 = 1 GROUP BY member, win, i),
-b AS (SELECT win, i, k, avg((v < q[k + 1])::INT) AS below FROM f JOIN c USING (win, i), k GROUP BY win, i, k),
-x AS (SELECT win, i, 2 / pi() * sum(w * (k / 100.0::DOUBLE - below)) AS efi FROM b JOIN wt USING (k) GROUP BY win, i),
-t AS (SELECT win, i, quantile_cont(v, 0.1) AS f10, quantile_cont(v, 0.9) AS f90 FROM f GROUP BY win, i)
-SELECT win AS window, i, {R('efi', 'efi', 5)}, {R('(f10 - q[2]) / (q[2] - q[11])', 'sot10', 5)}, {R('(f90 - q[100]) / (q[100] - q[91])', 'sot90', 5)}
-FROM x JOIN c USING (win, i) JOIN t USING (win, i)"""
-)
-def extreme_index(spark, sf):
-    c = ens(spark, sf)
-    even, odd = (c._new(c.df.where(F.col("step") % 2 == k)) for k in (0, 1))
-    parts = c.df.where(F.col("step") % 2 == 0)
-    held = F.explode(F.element_at(F.create_map(*[y for s in range(30) for y in (F.lit(s), F.array(*[F.lit(n) for n, x in WINDOWS.items() if s in x]))]), F.col("step").cast("int")))
-    seen = Cube(parts.where("step < 30").withColumn("window", held), ["member", "step", "window"], ["i"])
-    clim = ensemble.climatology(seen, ["member", "step"])
-    means = ensemble.window_operation(odd, "mean", WINDOWS)
-    return rounded(ensemble.extreme(means, clim), "efi", "sot10", "sot90", digits=5)
-
-
 @query("SELECT count(*) AS fields, count(DISTINCT n_regionkey) AS regions FROM nation")
 def metadata_override(spark, sf):
     n = _table(spark, sf, "nation").withColumn("meta", F.create_map(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("edition"), F.lit("2")))
@@ -292,18 +206,25 @@ def metadata_override(spark, sf):
     return n.where(F.col("meta")["edition"] == "1").agg(F.count("*").alias("fields"), F.count_distinct(F.col("meta")["region"]).alias("regions"))
 
 
-# The same operators over whole tables: all members, steps and elements; window k holds steps 5 k to 5 k + 9.
+# Windows over all steps: window k holds steps 5 k to 5 k + 9.
 
 V = f"{E}, s AS (SELECT member, step, i, v, step // 5 - k AS win FROM e, (VALUES (0), (1)) AS x(k) WHERE step // 5 >= k)"
 
 
+@query(f"{E} SELECT member, CASE step % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS window, i, max(v) AS v FROM e GROUP BY ALL UNION ALL SELECT member, 'all', i, max(v) FROM e GROUP BY ALL")
+def windows_listed(spark, sf):
+    c = ens(spark, sf)
+    steps = c.labels("step")
+    return ensemble.window_operation(c, "max", {"even": [s for s in steps if s % 2 == 0], "odd": [s for s in steps if s % 2], "all": steps}).df
+
+
 @query(f"{V} SELECT member, win AS window, i, min(v) AS v FROM s GROUP BY ALL")
-def window_min_whole(spark, sf):
+def window_min(spark, sf):
     return ensemble.running_windows(ens(spark, sf), "min", 10, 5).df
 
 
 @query(f"{V}, m AS (SELECT member, win, i, min(v) AS v FROM s GROUP BY ALL) SELECT win AS window, i, {R('avg((v <= -0.1)::INT) * 100')} FROM m GROUP BY ALL")
-def window_probability_whole(spark, sf):
+def window_probability(spark, sf):
     return rounded(ensemble.threshold_prob(ensemble.running_windows(ens(spark, sf), "min", 10, 5), "<=", -0.1))
 
 
@@ -318,7 +239,7 @@ t AS (SELECT win, i, quantile_cont(v, 0.1) AS f10, quantile_cont(v, 0.9) AS f90
 SELECT win AS window, i, {R('efi', 'efi', 5)}, {R('(f10 - q[2]) / (q[2] - q[11])', 'sot10', 5)}, {R('(f90 - q[100]) / (q[100] - q[91])', 'sot90', 5)}
 FROM x JOIN c USING (win, i) JOIN t USING (win, i)"""
 )
-def extreme_index_whole(spark, sf):
+def extreme_index(spark, sf):
     c = ens(spark, sf)
     even, odd = (c._new(c.df.where(F.col("step") % 2 == k)) for k in (0, 1))
     clim = ensemble.climatology(ensemble.in_windows(even, 10, 5), ["member", "step"])
@@ -326,39 +247,39 @@ def extreme_index_whole(spark, sf):
 
 
 @query(f"{E} SELECT member, step, i, {R('v * v')} FROM e")
-def map_python_whole(spark, sf):
+def map_python(spark, sf):
     return rounded(ens(spark, sf).map_arrays(lambda a: a * a))
 
 
 @query(f"{E} SELECT a.member, a.step, a.i, CASE WHEN b.v <= 0 THEN 0.0 ELSE a.v END AS v FROM e a JOIN e b ON b.member = (a.member + 1) % 10 AND a.step = b.step AND a.i = b.i")
-def mask_filter_whole(spark, sf):
+def mask_filter(spark, sf):
     c = ens(spark, sf)
     return c.mask(c._new(c.df.withColumn("member", (F.col("member") + 9) % 10)), "<=", 0.0).df
 
 
 @query(f"{E} SELECT 'raw' AS kind, member, step, i, v FROM e UNION ALL SELECT 'twice', member, step, i, v * 2 FROM e")
-def join_new_whole(spark, sf):
+def join_new(spark, sf):
     c = ens(spark, sf)
     return c.join(c.map(lambda v: v * 2), "kind", ["raw", "twice"]).df
 
 
 @query(f"{E} SELECT l AS level, member, step, i, v FROM e, (VALUES ('low'), ('high')) AS x(l)")
-def broadcast_dims_whole(spark, sf):
+def broadcast_dims(spark, sf):
     c = ens(spark, sf)
     return c.broadcast(Cube(c.df.limit(0).withColumn("level", F.lit("")), ["level"], [], ["v"], {"level": ["low", "high"]})).df
 
 
 @query(f"{E} SELECT k AS power, member, step, i, {R('v ** k')} FROM e, (VALUES (2), (3)) AS x(k)")
-def transform_union_whole(spark, sf):
+def transform_union(spark, sf):
     return rounded(ens(spark, sf).transform(lambda c, k: c.power(k), [2, 3], "power"))
 
 
 @query(f"{E} SELECT member, step, i, n, {R('v * n')} FROM e, (VALUES (1), (2), (3)) AS x(n)")
-def yields_multiples_whole(spark, sf):
+def yields_multiples(spark, sf):
     return rounded(ens(spark, sf).yields([lambda v, k=k: v * k for k in (1, 2, 3)], "n", [1, 2, 3]))
 
 
-def _binary_whole() -> None:
+def _binary() -> None:
     sql = {"add": "a.v + b.v", "subtract": "a.v - b.v", "multiply": "a.v * b.v", "divide": "a.v / b.v", "diff": "b.v - a.v"}
     for how, x in sql.items():
 
@@ -366,11 +287,11 @@ def _binary_whole() -> None:
             c = ens(spark, sf)
             return rounded(c.select(member=list(range(5))).combine(c.select(member=list(range(5, 10))), how))
 
-        QUERIES[f"binary_{how}_whole"] = run
-        ORACLES[f"binary_{how}_whole"] = f"{E} SELECT a.member, a.step, a.i, {R(x)} FROM e a JOIN e b ON b.member = a.member + 5 AND a.step = b.step AND a.i = b.i"
+        QUERIES[f"binary_{how}"] = run
+        ORACLES[f"binary_{how}"] = f"{E} SELECT a.member, a.step, a.i, {R(x)} FROM e a JOIN e b ON b.member = a.member + 5 AND a.step = b.step AND a.i = b.i"
 
 
-_binary_whole()
+_binary()
 
 
 # Graphs: customers hang on nations, nations on regions.
@@ -436,17 +357,10 @@ def graph_accumulated(spark, sf):
     return p.accumulated(p.nodes.select("name", F.lit(1.0).alias("cost")))
 
 
-@query("WITH n AS (SELECT 'r' || n_regionkey AS r, 'n' || n_nationkey AS n FROM nation) SELECT least(r, n) AS a, greatest(r, n) AS b, 1 AS d FROM n")
-def graph_nearest_common(spark, sf):
-    p = plan(spark, sf)
-    top = Plan(p.nodes.where("payload in ('region', 'nation')"), p.edges.where(F.col("src").startswith("r")))
-    return top.nearest_common_descendant()
-
-
 @query(
     f"WITH {GRAPH}, f AS (SELECT name AS s, name AS c, 0 AS d FROM nodes UNION ALL SELECT src, dst, 1 FROM edges UNION ALL SELECT a.src, b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src) SELECT x.s AS a, y.s AS b, min(greatest(x.d, y.d)) AS d FROM f x JOIN f y ON x.c = y.c AND x.s < y.s GROUP BY ALL"
 )
-def graph_nearest_common_whole(spark, sf):
+def graph_nearest_common(spark, sf):
     return plan(spark, sf).nearest_common_descendant()
 
 

@@ -13,5 +13,5 @@ def test_same_as_sql(spark, duck, name):
 def test_windows_reach_the_last_step(spark):
     """Windows go as far as the table's steps, not to a listed one."""
     last = spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("max(vec_id div 10)").first()[0]
-    for name in ("window_min_whole", "window_probability_whole"):
+    for name in ("window_min", "window_probability"):
         assert {r.window for r in QUERIES[name](spark, DATA).select("window").distinct().collect()} == set(range(last // 5 + 1))
