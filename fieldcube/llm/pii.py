@@ -209,13 +209,13 @@ def _word(r):
 def _card(r):
     body = _digits(r, r.choice([12, 14, 15, 15, 15, 18]))
     full = next(body + c for c in "0123456789" if luhn(body + c))
-    sep = r.choice(["", "", " ", "-", "."])
+    sep = r.choice(["", " ", "-", ".", "."])
     return sep.join(full[i : i + 4] for i in range(0, len(full), 4)) if sep else full
 
 
 def _phone(r):
     a, b, c = _digits(r, 3), _digits(r, 3), _digits(r, 4)
-    return r.choice([f"+{_digits(r, r.randint(1, 2))} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{_digits(r, 2)} {a} {b} {c}", f"({a}) {b} {c}", f"+{_digits(r, 11)}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}"])
+    return r.choice([f"+{_digits(r, r.randint(1, 2))} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{_digits(r, 2)} {a} {b} {c}", f"({a}) {b} {c}", f"+{_digits(r, 11)}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a}.{b}.{c}", f"0{_digits(r, 2)} {_digits(r, 4)} {c}", f"0{_digits(r, 2)} {_digits(r, 4)} {c}"])
 
 
 def _email(r):
@@ -264,7 +264,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def train(windows: int = 5000, batch: int = 64, epochs: int = 2, seed: int = 5) -> Tagger:
+def train(windows: int = 7000, batch: int = 64, epochs: int = 2, seed: int = 5) -> Tagger:
     """A tagger fitted to ``windows`` generated windows (a fixed number, whatever the input's size)."""
     model, state = Tagger(seed=seed), {}
     ids, tags = examples(windows, seed)
@@ -375,10 +375,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(df: DataFrame, model: Tagger, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df`` with counts by kind, base_sha256 and spans (base and added ones).
+    """``df`` with counts of base spans by kind, n_spans (base and added), base_sha256 and spans (base and added ones).
 
     A span of the network is added where it overlaps no base span.  Positions are
-    code points, the end exclusive.  A null text is empty.
+    code points, the end exclusive.  A null text is empty.  A text of any length is
+    read whole, in windows; each row for itself, so repeated rows get equal spans.
+    Where candidate spans overlap, the set of the largest weight stays, of equal
+    ones that which ends first.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -392,13 +395,13 @@ def find(df: DataFrame, model: Tagger, text_col: str = "text", keep: list[str] |
             for own, more in zip(base, tag(model, texts), strict=True):
                 added = [x for x in more if all(x[2] <= a or x[1] >= b for _, a, b in own)]
                 counts = [sum(x[0] == k for x in own) for k in range(len(KINDS))]
-                rows.append([*counts, hashlib.sha256(joined(own).encode()).hexdigest(), joined(own + added)])
+                rows.append([*counts, len(own) + len(added), hashlib.sha256(joined(own).encode()).hexdigest(), joined(own + added)])
             return [list(x) for x in zip(*rows, strict=True)]
 
         return run
 
     fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
-    fields += [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    fields += [T.StructField("n_spans", T.LongType()), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     return append_columns(df, text_col, factory, fields, keep)
 
 

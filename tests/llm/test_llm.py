@@ -302,6 +302,37 @@ def test_tagger_on_unseen_windows(edge):
     assert pii.tag(model, ["", "x" * 500]) == [[], []]
 
 
+def test_tagger_adds_what_patterns_miss():
+    """Spans of forms that no base pattern has, in prose with look-alikes: precision and recall of whole spans."""
+    import random
+
+    r = random.Random(31)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = digits(15)
+        full = next(body + c for c in "0123456789" if pii.luhn(body + c))
+        return ".".join(full[i : i + 4] for i in range(0, 16, 4))
+
+    forms = [(3, lambda: f"({digits(3)}) {digits(3)}-{digits(4)}"), (3, lambda: f"{digits(3)}-{digits(3)}-{digits(4)}"), (3, lambda: f"{digits(3)}.{digits(3)}.{digits(4)}"), (3, lambda: f"0{digits(2)} {digits(4)} {digits(4)}"), (2, card)]
+    others = [lambda: f"version {digits(1)}.{digits(1)}.{digits(2)}", lambda: f"{digits(4)}-0{digits(1)}-{digits(2)}", lambda: digits(5), lambda: f"${digits(3)}", lambda: "deadbeef" + digits(16)]
+    texts, want = [], []
+    for k in range(400):
+        words = [pii._word(r) for _ in range(30)]
+        kind, make = forms[k % len(forms)]
+        span = make()
+        words[5], words[20] = r.choice(others)(), span
+        text = " ".join(words)
+        at = text.index(f" {span} ") + 1
+        texts.append(text)
+        want.append((kind, at, at + len(span)))
+    got = pii.tag(pii.train(), texts)
+    base = [pii.base_spans(t) for t in texts]
+    added = [[x for x in g if all(x[2] <= a or x[1] >= b for _, a, b in own)] for g, own in zip(got, base, strict=True)]
+    hit = sum(w in a for w, a in zip(want, added, strict=True))
+    assert hit / len(want) >= 0.9 and hit / max(1, sum(map(len, added))) >= 0.9, (hit, sum(map(len, added)), Counter(k % len(forms) for k, (w, a) in enumerate(zip(want, added, strict=True)) if w not in a))
+
+
 def test_tagger_gradient():
     model, state = pii.Tagger(seed=1), {}
     ids, tags = pii.examples(8, seed=2)
