@@ -278,7 +278,7 @@ def linked(p: np.ndarray, q: np.ndarray) -> bool:
 
 def verified(near: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that link; all b of one a are held against its set, those of a common a in several tasks."""
-    per = near.groupBy("a").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("long").alias("k"))
+    per = near.groupBy("a").agg(F.ceil(F.count("*") / (BLOCK // 4 or 1)).cast("long").alias("k"))
     rows = near.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).alias("block"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     leads = per.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("doc"))
     rows = rows.unionByName(leads).join(texts.hint("merge"), "doc").select("a", "block", "role", "doc", "text")
