@@ -294,13 +294,17 @@ def layout(demand: dict[int, int], capacity: int = CAPACITY, **options) -> tuple
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, rows_per_bucket: int = 20_000, **options) -> DataFrame:
-    """``pieces`` with sequence_id and offset: as few sequences of at most ``capacity`` tokens as it can.
+    """``pieces`` with ids_crc32, sequence_id and offset: as few sequences of at most ``capacity`` tokens as it can.
 
     Only the histogram of lengths (at most ``capacity`` entries) reaches the
     driver.  Pieces of a length are ranked by counts in hash ranges, so that one
-    length may hold most rows, and the rank tells sequence and offset.
+    length may hold most rows, and the rank tells sequence and offset.  Ranks are
+    found without the ids, which join their place last and not at all if the
+    caller drops them.
     """
-    rows = materialize(pieces(df, id_col, text_col, capacity, path), "pieces")
+    ids = pieces(df, id_col, text_col, capacity, path).withColumn("ids_crc32", F.crc32("ids")).withColumn("at", F.monotonically_increasing_id())
+    whole = materialize(ids, "pieces")
+    rows = whole.select("at", "id", "row", "piece", "length")
     demand = {int(r.length): int(r.n) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan, _ = layout(demand, capacity, **options)
     buckets = max(1, -(-max(demand.values(), default=0) // rows_per_bucket))
@@ -309,12 +313,11 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("id", "row", "piece", "ids")
+    own = Window.partitionBy("length", "bucket").orderBy("id", "row", "piece", "at")
     rows = rows.withColumn("rn", F.row_number().over(own) - 1).join(counts, ["length", "bucket"])
     rows = rows.withColumn("rank", (F.col("before") + F.col("rn")).cast("long")).drop("before", "rn", "bucket")
     shared = df.sparkSession.sparkContext.broadcast(plan)
-    keep = ["id", "piece", "start", "length", "ids"]
-    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([T.StructField("at", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
         import pyarrow as pa
@@ -330,9 +333,10 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
                 turn = rank[at] - first[k]
                 sequence[at] = seq[k] + turn // copies[k]
                 offset[at] = off[k] + turn % copies[k] * one
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(sequence), pa.array(offset)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return rows.mapInArrow(place, schema)
+    placed = rows.select("at", "length", "rank").mapInArrow(place, schema)
+    return whole.join(placed, "at").select("id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -344,5 +348,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     """Checksums of the ids that ``pack`` gives."""
-    rows = pack(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids"))
-    return rows.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
