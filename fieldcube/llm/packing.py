@@ -307,7 +307,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     rows = whole.select("at", "id", "row", "piece", "length")
     demand = {int(r.length): int(r.n) for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan, _ = layout(demand, capacity, **options)
-    buckets = max(1, -(-max(demand.values(), default=0) // rows_per_bucket))
+    buckets = max(64, -(-max(demand.values(), default=0) // rows_per_bucket))
     bucket = F.pmod(F.xxhash64("id", "row", "piece"), F.lit(buckets)).cast("int")
     rows = rows.withColumn("bucket", bucket)
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
