@@ -6,7 +6,6 @@ import bisect
 import hashlib
 import random
 import re
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -263,9 +262,8 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, tags
 
 
-@lru_cache(maxsize=2)
 def train(windows: int = 7000, batch: int = 64, epochs: int = 2, seed: int = 5) -> Tagger:
-    """A tagger fitted to ``windows`` generated windows (a fixed number, whatever the input's size)."""
+    """A tagger fitted to ``windows`` generated windows (a fixed number, whatever the input's size); each call fits anew."""
     model, state = Tagger(seed=seed), {}
     ids, tags = examples(windows, seed)
     order = np.random.default_rng(seed)
