@@ -219,7 +219,6 @@ def labelled(n: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
     return out
 
 
-@lru_cache(maxsize=2)
 def train(pages: int = 400, seed: int = 3, penalty: float = 1.0) -> tuple[float, ...]:
     """Weights of a logistic classifier, fitted to the blocks of ``pages`` made-up pages (a fixed number) by Newton steps, each weight within its bound."""
     made = labelled(pages, seed)
@@ -320,12 +319,18 @@ def label(blocks: list[Block], weights: tuple[float, ...], near: float = 1.0, si
     return g.source_side()
 
 
+@lru_cache(maxsize=1)
+def _own_weights() -> tuple[float, ...]:
+    """Weights for single pages given without any; ``extract`` fits its own in each call."""
+    return train()
+
+
 def main_text(page: str | None, weights: tuple[float, ...] | None = None) -> str:
     """The content blocks of a page in order, one a line; "" for a null or empty page or one without content."""
     if not page:
         return ""
     blocks = blocks_of(page)
-    return "\n".join(b.text for b, ok in zip(blocks, label(blocks, weights or train()), strict=True) if ok)
+    return "\n".join(b.text for b, ok in zip(blocks, label(blocks, weights or _own_weights()), strict=True) if ok)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
