@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import product
 from typing import Any
 
 import numpy as np
@@ -61,6 +62,20 @@ class Cube:
         out = self.df.join(F.broadcast(table), F.col(dim) == F.col("__label"))  # bounded by LABEL_LIMIT
         return out.drop("__label", *([name] if name in out.columns else [])).withColumnRenamed("__new", name)
 
+    def _per_cell(self, dims: Sequence[str], entries: Sequence, name: str) -> DataFrame:
+        """``df`` with ``name``: the entry of each cell of ``dims``; ``entries`` is nested as their labels are."""
+        flat = [entries]
+        for d in dims:
+            if any(len(x) != len(self.labels(d)) for x in flat):
+                raise ValueError(f"the entries do not match the {len(self.labels(d))} labels of {d}")
+            flat = [y for x in flat for y in x]
+        if len(flat) > LABEL_LIMIT:
+            raise ValueError(f"more than {LABEL_LIMIT} cells")
+        rows = [(*cell, e) for cell, e in zip(product(*(self.labels(d) for d in dims)), flat, strict=True)]
+        table = self.df.sparkSession.createDataFrame(rows, [*(f"__{d}" for d in dims), name])
+        on = [F.col(d) == F.col(f"__{d}") for d in dims]
+        return self.df.join(F.broadcast(table), on).drop(*(f"__{d}" for d in dims))  # bounded by LABEL_LIMIT
+
     # Namespaces
 
     @classmethod
@@ -110,12 +125,29 @@ class Cube:
         at = {d: [self.labels(d)[k] for k in x] if isinstance(x, (list, tuple, range)) else self.labels(d)[x] for d, x in want.items()}
         return self.select(at, drop)
 
-    def take(self, dim: str, indices: int | Sequence[int]) -> Cube:
-        """Elements of the inner arrays: one index drops the inner dimension, a list numbers it anew in the order given."""
+    def take(self, dim: str, indices: Any, method: str = "isel", drop: bool = True) -> Cube:
+        """Elements of the inner arrays: one drops the inner dimension, a list keeps it.
+
+        ``isel``: by index; a list numbers them anew in the order given.  ``sel``: by
+        the inner dimension's own labels, which stay; one that no cell has is a
+        KeyError.  ``drop=False`` keeps a single one as a scalar.
+        """
         if dim not in self.inner:
             raise ValueError(f"{dim} is no inner dimension")
+        if method not in ("isel", "sel"):
+            raise ValueError(f"unknown method {method!r}")
+        if method == "sel":
+            many = isinstance(indices, (list, tuple, range))
+            some = list(indices) if many else [indices]
+            df = self.df.where(F.col(dim).isin(some))
+            held = [r[0] for r in df.select(dim).distinct().collect()]
+            if unknown := [x for x in some if x not in held]:
+                raise KeyError(f"{dim} has no {unknown}")
+            if many:
+                return self._new(df)
+            return self._new(df, inner=[x for x in self.inner if x != dim], scalars={**self.scalars, **({} if drop else {dim: indices})})
         if isinstance(indices, int):
-            return self._new(self.df.where(F.col(dim) == indices), inner=[x for x in self.inner if x != dim])
+            return self._new(self.df.where(F.col(dim) == indices), inner=[x for x in self.inner if x != dim], scalars={**self.scalars, **({} if drop else {dim: indices})})
         at = F.array_position(F.array(*[F.lit(k).cast(self.df.schema[dim].dataType) for k in indices]), F.col(dim))
         df = self.df.where(F.col(dim).isin(list(indices))).withColumn(dim, (at - 1).cast(self.df.schema[dim].dataType))
         return self._new(df)
@@ -145,13 +177,29 @@ class Cube:
         """A Column expression on each value."""
         return self._new(self.df.withColumns({v: function(F.col(v)) for v in self.values}))
 
-    def map_each(self, function: Callable[[Column, Column], Column], dim: str, params: Sequence) -> Cube:
-        """A Column expression of the value and of one parameter for each label of ``dim``."""
-        if len(params) != len(self.labels(dim)):
-            raise ValueError(f"{len(params)} parameters for {len(self.labels(dim))} labels of {dim}")
-        df = self._relabelled(dim, params, "__param")
+    def map_each(self, function: Callable[[Column, Column], Column], dim: str | Sequence[str], params: Sequence) -> Cube:
+        """A Column expression of the value and of one parameter for each label of ``dim``, or for each cell of several (``params`` nested as they are)."""
+        df = self._per_cell([dim] if isinstance(dim, str) else dim, params, "__param")
         return self._new(df.withColumns({v: function(F.col(v), F.col("__param")) for v in self.values}))
 
+    def map_cells(self, functions: Sequence, dims: str | Sequence[str]) -> Cube:
+        """A Column expression of its own for each cell of ``dims``; ``functions`` is nested as their labels are."""
+        dims = [dims] if isinstance(dims, str) else list(dims)
+        known: dict[Callable, int] = {}
+
+        def numbered(x: Any) -> Any:
+            return known.setdefault(x, len(known)) if callable(x) else [numbered(y) for y in x]
+
+        df = self._per_cell(dims, numbered(functions), "__function")
+
+        def chosen(v: Column) -> Column:
+            out = F.lit(None)
+            for f, k in known.items():
+                out = F.when(F.col("__function") == k, f(v)).otherwise(out)
+            return out
+
+        return self._new(df.withColumns({v: chosen(F.col(v)) for v in self.values}))
+
     def map_arrays(self, function: Callable[[np.ndarray], np.ndarray]) -> Cube:
         """A Python function on each cell's array along its only inner dimension; a cell must fit in memory."""
         (inner,), (value,), dims = self.inner, self.values, self.dims
@@ -172,8 +220,34 @@ class Cube:
         df = self.df.withColumn("__y", F.explode(rows)).drop(value).select("*", f"__y.{dim}", f"__y.{value}")
         return self._new(df, dims=[*self.dims, dim], coords={**self.coords, dim: list(labels)})
 
+    def yields_arrays(self, function: Callable[[np.ndarray], Any], dim: str, labels: Sequence) -> Cube:
+        """The arrays that a Python function (or generator) gives for each cell's array, along a new outer dimension.
+
+        A cell must fit in memory.  Another number of arrays than labels is an error.
+        """
+        (inner,), (value,), dims, count = self.inner, self.values, self.dims, len(labels)
+        schema = ", ".join(f"`{c}` {self.df.schema[c].dataType.simpleString()}" for c in [*dims, inner]) + f", `{value}` double, __result int"
+
+        def run(cell: pd.DataFrame) -> pd.DataFrame:
+            outs = [np.asarray(x, float) for x in function(cell.sort_values(inner)[value].to_numpy())]
+            if len(outs) != count:
+                raise ValueError(f"{len(outs)} results for {count} labels")
+            frames = [pd.DataFrame({**{d: [cell[d].iloc[0]] * len(x) for d in dims}, inner: range(len(x)), value: x, "__result": k}) for k, x in enumerate(outs)]
+            return pd.concat(frames)
+
+        return self._results(self.df.groupBy(*dims).applyInPandas(run, schema), dims, dim, labels)
+
+    def _results(self, df: DataFrame, dims: Sequence[str], dim: str, labels: Sequence) -> Cube:
+        """Rows numbered by ``__result``, under the labels of the new dimension ``dim``."""
+        df = df.withColumn(dim, F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("__result") + 1))
+        return self._new(df, dims=[*dims, dim], coords={**self.coords, dim: list(labels)})
+
     def expand(self, dim: str, inner: str, size: int | None = None, labels: Sequence | None = None) -> Cube:
-        """An inner dimension becomes an outer one: its first ``size`` elements, named by ``labels`` if given."""
+        """An inner dimension becomes an outer one: its first ``size`` elements, named by ``labels`` if given.
+
+        More elements than any cell has is an error; a query that stops at the first
+        row with the last of them finds out.
+        """
         if inner not in self.inner:
             raise ValueError(f"{inner} is no inner dimension")
         if size is None and labels is None:
@@ -181,6 +255,8 @@ class Cube:
         if size is not None and labels is not None and size != len(labels):
             raise ValueError(f"{len(labels)} labels for {size} elements")
         size = len(labels) if size is None else size
+        if size > 0 and self.df.where(F.col(inner) == size - 1).isEmpty():
+            raise ValueError(f"{inner} has fewer than {size} elements")
         df = self.df.where(F.col(inner) < size)
         label = F.col(inner) if labels is None else F.element_at(F.array(*[F.lit(x) for x in labels]), (F.col(inner) + 1).cast("int"))
         df = df.withColumn("__label", label).drop(inner).withColumnRenamed("__label", dim)
@@ -290,6 +366,19 @@ class Cube:
         name = f"{self.labels(dim)[0]}-{self.labels(dim)[-1]}"
         return self._new(df.withColumn(dim, F.lit(name)), coords={**self.coords, dim: [name]})
 
+    def reduce_yields(self, functions: Sequence[str | Callable[[Column], Column]], name: str, labels: Sequence, dim: str = "") -> Cube:
+        """Several reductions of an outer dimension in one pass, along the new outer dimension ``name``."""
+        if len(functions) != len(labels):
+            raise ValueError(f"{len(functions)} results for {len(labels)} labels")
+        dim = dim or self.dims[0]
+        if dim not in self.dims:
+            raise KeyError(dim)
+        (value,), rest = self.values, [d for d in self.dims if d != dim]
+        results = [(f if callable(f) else fn.reduction(f))(F.col(value)).alias(f"__{k}") for k, f in enumerate(functions)]
+        df = self.df.groupBy(*rest, *self.inner).agg(*results)
+        df = df.select(*rest, *self.inner, F.posexplode(F.array(*[F.col(f"__{k}") for k in range(len(results))])).alias("__result", value))
+        return self._results(df, rest, name, labels)
+
     def sum(self, dim: str = "", **options) -> Cube:
         return self.reduce("sum", dim, **options)
 
@@ -325,23 +414,28 @@ class Cube:
         df = self.df.groupBy(*self.dims, *rest).agg(*[fn.reduction(how)(F.col(v)).alias(v) for v in self.values])
         return self._new(df, inner=rest)
 
-    def reduce_arrays(self, function: Callable[[np.ndarray], np.ndarray], dim: str = "", block: int = 4096) -> Cube:
+    def reduce_arrays(self, function: Callable[[np.ndarray], Any], dim: str = "", block: int = 4096, yields: tuple[str, Sequence] | None = None) -> Cube:
         """A Python function of (labels, elements) arrays to one row of elements, on blocks of the only inner dimension.
 
         It must treat elements apart from each other; a task holds one block of all
-        labels, so memory does not grow with the cells' size.
+        labels, so memory does not grow with the cells' size.  ``yields``: (new outer
+        dimension, its labels), if the function gives a row for each of several results.
         """
         dim = dim or self.dims[0]
         (inner,), (value,), rest = self.inner, self.values, [d for d in self.dims if d != dim]
-        schema = ", ".join(f"`{c}` {self.df.schema[c].dataType.simpleString()}" for c in [*rest, inner]) + f", `{value}` double"
+        schema = ", ".join(f"`{c}` {self.df.schema[c].dataType.simpleString()}" for c in [*rest, inner]) + f", `{value}` double, __result int"
+        count = len(yields[1]) if yields else 1
 
         def run(part: pd.DataFrame) -> pd.DataFrame:
             table = part.pivot(index=dim, columns=inner, values=value).sort_index()
-            out = np.asarray(function(table.to_numpy()), float)
-            return pd.DataFrame({**{d: [part[d].iloc[0]] * len(out) for d in rest}, inner: table.columns, value: out})
-
-        df = self.df.withColumn("__block", F.floor(F.col(inner) / block))
-        return self._new(df.groupBy(*rest, "__block").applyInPandas(run, schema), dims=rest)
+            outs = list(function(table.to_numpy())) if yields else [function(table.to_numpy())]
+            if len(outs) != count:
+                raise ValueError(f"{len(outs)} results for {count} labels")
+            frames = [pd.DataFrame({**{d: [part[d].iloc[0]] * len(table.columns) for d in rest}, inner: table.columns, value: np.asarray(x, float), "__result": k}) for k, x in enumerate(outs)]
+            return pd.concat(frames)
+
+        df = self.df.withColumn("__block", F.floor(F.col(inner) / block)).groupBy(*rest, "__block").applyInPandas(run, schema)
+        return self._results(df, rest, *yields) if yields else self._new(df, dims=rest)
 
     def group(self, dim: str, by: Callable[[Column], Column], how: str, name: str | None = None) -> Cube:
         """Reduce along ``dim`` within groups of labels given by an expression of the label."""

@@ -71,12 +71,14 @@ def task_durations(rows: DataFrame, actions: Sequence[str] = TASK_ACTIONS, pairs
 
 
 def filled(rows: DataFrame, columns: Sequence[str], keys: Sequence[str], order: str = "at") -> DataFrame:
-    """Each of ``columns`` replaced by its latest value within the keys that is not null."""
-    own = Window.partitionBy(*keys)
-    out = rows
-    for c in columns:
-        out = out.withColumn(c, F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).over(own))
-    return out
+    """Each of ``columns`` replaced by its latest value within the keys that is not null.
+
+    One aggregate with partial results, joined back: a key of many rows is not one task.
+    """
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c) for c in columns]
+    found = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*last)
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.drop(*columns).join(found, on, "left").select(*rows.columns)
 
 
 def transmit_durations(rows: DataFrame) -> DataFrame:

@@ -7,27 +7,52 @@ nodes(name, payload), edges(src, output, dst, input): an edge hands an output of
 from __future__ import annotations
 
 import json
+import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+#: The output of a node that has only one.
+DEFAULT_OUTPUT = "0"
+#: Rows of a plan that may become one text.
+TEXT_LIMIT = 100_000
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration by a checkpoint in the folder of spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir() + "/fieldcube-checkpoints")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:  # only on one machine, as in tests
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.gettempdir() + "/fieldcube-checkpoints"
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-@dataclass
+@dataclass(eq=False)
 class Plan:
     nodes: DataFrame
     edges: DataFrame
 
+    def get_node(self, name: str) -> Row:
+        """The node's row; a name that no node has is a KeyError."""
+        got = self.nodes.where(F.col("name") == name).head(1)
+        if not got:
+            raise KeyError(name)
+        return got[0]
+
+    def equals(self, other: Plan) -> bool:
+        """Both have the same nodes with the same payloads, and the same edges, in any order."""
+
+        def same(a: DataFrame, b: DataFrame, cols: list[str]) -> bool:
+            a, b = a.select(*cols), b.select(*cols)
+            return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+        return same(self.nodes, other.nodes, ["name", "payload"]) and same(self.edges, other.edges, ["src", "output", "dst", "input"])
+
     def sources(self) -> DataFrame:
         return self.nodes.join(self.edges.select(F.col("dst").alias("name")), "name", "left_anti")
 
@@ -35,9 +60,11 @@ class Plan:
         return self.nodes.join(self.edges.select(F.col("src").alias("name")), "name", "left_anti")
 
     def predecessors(self, name: str) -> DataFrame:
+        self.get_node(name)
         return self.edges.where(F.col("dst") == name).select("input", "src", "output")
 
     def successors(self, name: str) -> DataFrame:
+        self.get_node(name)
         return self.edges.where(F.col("src") == name).select("output", "dst", "input")
 
     def dependants(self) -> DataFrame:
@@ -151,6 +178,21 @@ class Plan:
         pairs = far.toDF("a", "c", "da").join(far.toDF("b", "c", "db"), "c").where("a < b")
         return pairs.groupBy("a", "b").agg(F.min(F.greatest("da", "db")).alias("d"))
 
+    def values(self) -> DataFrame:
+        """(name, value): the nodes on the longest way of the node's component, less the fewest edges from the node to a sink."""
+        back = Plan(self.nodes, self.edges.select(F.col("dst").alias("src"), "output", F.col("src").alias("dst"), "input"))
+        parts = self.components()
+        depth = parts.join(back.layers(), "name").groupBy("component").agg((F.max("layer") + 1).alias("depth"))
+        step = _cut(self.edges.select("src", "dst").distinct())
+        last = near = _cut(self.sinks().select("name", F.lit(0).alias("d")))
+        k = 0
+        while not last.isEmpty():
+            k += 1
+            more = step.join(last.select(F.col("name").alias("dst")), "dst").select(F.col("src").alias("name")).distinct()
+            last = _cut(more.join(near, "name", "left_anti").withColumn("d", F.lit(k)))
+            near = near.unionByName(last)
+        return near.join(parts, "name").join(depth, "component").select("name", (F.col("depth") - F.col("d")).alias("value"))
+
     def accumulated(self, costs: DataFrame, once: bool = False) -> DataFrame:
         """(name, total): a node's cost (name, cost) and those of its ancestors, counted once for each path or, with ``once``, once."""
         if once:
@@ -165,10 +207,37 @@ class Plan:
             done = _cut(done.unionByName(named.where(F.col("layer") == k).join(up, "name").select("name", (F.col("cost") + F.col("up")).alias("total"))))
         return done
 
+    def described(self) -> DataFrame:
+        """(name, payload, inputs, outputs): one row a node, inputs as a map from input to (src, output), outputs those that are read."""
+        entry = F.struct("input", F.struct("src", "output"))
+        ins = self.edges.groupBy(F.col("dst").alias("name")).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("inputs"))
+        outs = self.edges.groupBy(F.col("src").alias("name")).agg(F.array_sort(F.collect_set("output")).alias("outputs"))
+        return self.nodes.select("name", "payload").join(ins, "name", "left").join(outs, "name", "left")
+
+    def serialise(self) -> dict:
+        """{name: {inputs, outputs, payload}} of a plan small enough for the driver; an input is a name, or (name, output) if not the default one."""
+        rows = self.described().limit(TEXT_LIMIT + 1).collect()
+        if len(rows) > TEXT_LIMIT:
+            raise ValueError("the plan is too large for one text; write its tables")
+        found = {}
+        for r in rows:
+            inputs = {k: x.src if x.output == DEFAULT_OUTPUT else [x.src, x.output] for k, x in (r.inputs or {}).items()}
+            found[r.name] = {"inputs": inputs, "outputs": r.outputs or []} | ({} if r.payload is None else {"payload": r.payload})
+        return found
+
+    @staticmethod
+    def deserialise(spark, data: dict) -> Plan:
+        """The plan of ``serialise``; an input from a name that is no node is a KeyError."""
+        edges = [(*((x, DEFAULT_OUTPUT) if isinstance(x, str) else x), name, k) for name, d in data.items() for k, x in d.get("inputs", {}).items()]
+        if lost := {e[0] for e in edges} - set(data):
+            raise KeyError(sorted(lost)[0])
+        nodes = spark.createDataFrame([(name, d.get("payload")) for name, d in data.items()], "name string, payload string")
+        return Plan(nodes, spark.createDataFrame(edges, "src string, output string, dst string, input string"))
+
     def to_json(self) -> str:
         """A text of a plan small enough for the driver."""
-        rows = {t: [r.asDict(recursive=True) for r in df.limit(100_001).collect()] for t, df in (("nodes", self.nodes), ("edges", self.edges))}
-        if max(map(len, rows.values())) > 100_000:
+        rows = {t: [r.asDict(recursive=True) for r in df.limit(TEXT_LIMIT + 1).collect()] for t, df in (("nodes", self.nodes), ("edges", self.edges))}
+        if max(map(len, rows.values())) > TEXT_LIMIT:
             raise ValueError("the plan is too large for one text; write its tables")
         return json.dumps(rows, sort_keys=True)
 

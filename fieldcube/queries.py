@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .cube import Cube
 from .operators import ensemble, traces
+from .plans import samples
 from .plans.graph import Plan
-from .sources import from_arrays, from_frame, from_parts
+from .sources import from_arrays, from_files, from_frame, from_parts, generated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -294,6 +295,67 @@ def _binary() -> None:
 _binary()
 
 
+@query(f"{E} SELECT member, step, i, {R('v * (10 * step + member)')} FROM e")
+def map_each_cell(spark, sf):
+    """A parameter for each member and step."""
+    c = ens(spark, sf)
+    return rounded(c.map_each(lambda v, k: v * k, ["member", "step"], [[float(10 * s + m) for s in c.labels("step")] for m in range(10)]))
+
+
+@query(f"{E} SELECT member, step, i, {R('CASE member % 3 WHEN 0 THEN v WHEN 1 THEN -v ELSE v * v END')} FROM e")
+def map_functions(spark, sf):
+    kinds = [lambda v: v, lambda v: -v, lambda v: v * v]
+    return rounded(ens(spark, sf).map_cells([kinds[m % 3] for m in range(10)], "member"))
+
+
+@query(f"{E} SELECT member, step, i, CASE k WHEN 0 THEN 'plain' ELSE 'square' END AS kind, {R('CASE k WHEN 0 THEN v ELSE v * v END')} FROM e, (VALUES (0), (1)) AS x(k)")
+def yields_python(spark, sf):
+    def both(a):
+        yield a
+        yield a * a
+
+    return rounded(ens(spark, sf).yields_arrays(both, "kind", ["plain", "square"]))
+
+
+@query(f"{E}, r AS (SELECT step, i, min(v) AS a, max(v) AS b, avg(v) AS c FROM e GROUP BY step, i) SELECT step, i, kind, {R('CASE kind WHEN $$low$$ THEN a WHEN $$high$$ THEN b ELSE c END')} FROM r, (VALUES ('low'), ('high'), ('mean')) AS x(kind)")
+def reduce_yields(spark, sf):
+    return rounded(ens(spark, sf).reduce_yields(["min", "max", F.avg], "kind", ["low", "high", "mean"], "member"))
+
+
+@query(f"{E}, r AS (SELECT step, i, sum(v) AS a, median(v) AS b FROM e GROUP BY step, i) SELECT step, i, kind, {R('CASE kind WHEN $$sum$$ THEN a ELSE b END')} FROM r, (VALUES ('sum'), ('median')) AS x(kind)")
+def reduce_python_yields(spark, sf):
+    return rounded(ens(spark, sf).reduce_arrays(lambda a: (a.sum(0), np.median(a, 0)), "member", yields=("kind", ["sum", "median"])))
+
+
+@query(f"{E} SELECT member, step, i, v FROM e WHERE i IN (60, 5)")
+def take_labels(spark, sf):
+    return ens(spark, sf).take("i", [60, 5], method="sel").df
+
+
+@query(f"{E} SELECT step, member::INT AS member, i, v FROM e")
+def flatten_members(spark, sf):
+    return ens(spark, sf).flatten("member").df
+
+
+@query(f"{E} SELECT member, step, i, {R('pow(v * v, v + 1)')} FROM e")
+def binary_power(spark, sf):
+    c = ens(spark, sf)
+    return rounded(c.multiply(c, align="label").power(c.add(1), align="label"))
+
+
+@query("SELECT 'supplier' AS source, s_suppkey, s_acctbal FROM supplier")
+def source_files(spark, sf):
+    return from_files(spark, f"{sf}/supplier.parquet", r"([a-z]+)\.parquet", {"source": "string"}, ["s_suppkey"], ["s_acctbal"]).df
+
+
+@query("SELECT member::INT AS member, 5000::BIGINT AS elements, true AS inside, true AS even FROM (VALUES (0), (1), (2)) AS x(member)")
+def source_random(spark, sf):
+    """Seeded numbers: how many, whether in [0, 1), and whether each tenth holds about a tenth of them."""
+    df = generated(spark, {"member": [0, 1, 2]}, 5000, seed=3).df
+    tenths = df.groupBy("member", F.floor(F.col("v") * 10).alias("t")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+    return tenths.groupBy("member").agg(F.sum("n").alias("elements"), F.bool_and((F.col("a") >= 0) & (F.col("b") < 1)).alias("inside"), (F.bool_and(F.abs(F.col("n") - 500) < 150) & (F.count("*") == 10)).alias("even"))
+
+
 # Graphs: customers hang on nations, nations on regions.
 
 GRAPH = """nodes AS (SELECT 'r' || r_regionkey AS name, 'region' AS payload FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'c' || c_custkey, c_mktsegment FROM customer),
@@ -364,6 +426,59 @@ def graph_nearest_common(spark, sf):
     return plan(spark, sf).nearest_common_descendant()
 
 
+@query(f"WITH {GRAPH} SELECT src, dst FROM edges WHERE left(dst, 1) = 'c'")
+def graph_split(spark, sf):
+    """The edges cut between customers and the rest."""
+    return plan(spark, sf).split(F.col("name").startswith("c"))[1].select("src", "dst")
+
+
+@query(f"WITH {GRAPH} SELECT s || '.' || src AS src, s || '.' || dst AS dst FROM edges, (VALUES ('x'), ('y')) AS x(s)")
+def graph_namespaced(spark, sf):
+    p = plan(spark, sf)
+    return Plan.namespaced(x=p, y=p).edges.select("src", "dst")
+
+
+def _shortcuts(spark: SparkSession, sf: str) -> Plan:
+    """The graph with an edge from each region to the customers of its nations."""
+    p = plan(spark, sf)
+    more = p.edges.alias("a").join(p.edges.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "a.output", "b.dst", F.lit("region").alias("input"))
+    return Plan(p.nodes, p.edges.unionByName(more))
+
+
+@query(f"WITH {GRAPH} SELECT name, CASE left(name, 1) WHEN 'r' THEN 1.0 WHEN 'n' THEN 2.0 ELSE 3.0 END::DOUBLE AS total FROM nodes")
+def graph_accumulated_once(spark, sf):
+    p = _shortcuts(spark, sf)
+    return p.accumulated(p.nodes.select("name", F.lit(1.0).alias("cost")), once=True)
+
+
+@query(f"WITH {GRAPH} SELECT name, CASE left(name, 1) WHEN 'r' THEN 1.0 WHEN 'n' THEN 2.0 ELSE 4.0 END::DOUBLE AS total FROM nodes")
+def graph_accumulated_paths(spark, sf):
+    p = _shortcuts(spark, sf)
+    return p.accumulated(p.nodes.select("name", F.lit(1.0).alias("cost")))
+
+
+@query(
+    f"""WITH {GRAPH}, n AS (SELECT a.src AS r, a.dst AS name, max(b.dst IS NOT NULL)::INT AS d FROM edges a LEFT JOIN edges b ON a.dst = b.src WHERE left(a.src, 1) = 'r' GROUP BY ALL),
+r AS (SELECT name AS r, coalesce(max(d) + 2, 1) AS depth, coalesce(min(d) + 1, 0) AS d FROM nodes LEFT JOIN (SELECT r, d FROM n) ON r = name WHERE left(name, 1) = 'r' GROUP BY name)
+SELECT r AS name, (depth - d)::INT AS value FROM r UNION ALL SELECT n.name, (depth - n.d)::INT FROM n JOIN r USING (r) UNION ALL SELECT e.dst, depth::INT FROM edges e JOIN n ON e.src = n.name JOIN r USING (r)"""
+)
+def graph_values(spark, sf):
+    return plan(spark, sf).values()
+
+
+@query(f"WITH {GRAPH} SELECT name, payload, e.src, CASE WHEN name IN (SELECT src FROM edges) THEN 1 ELSE 0 END::INT AS outputs FROM nodes LEFT JOIN edges e ON e.dst = name")
+def graph_described(spark, sf):
+    df = plan(spark, sf).described()
+    return df.select("name", "payload", F.try_element_at("inputs", F.lit("in"))["src"].alias("src"), F.coalesce(F.size("outputs"), F.lit(0)).alias("outputs")).withColumn("outputs", F.greatest("outputs", F.lit(0)))
+
+
+@query("SELECT 'comb' AS shape, 'join-' || k AS name, (k + 1)::INT AS layer FROM range(4) AS x(k) UNION ALL SELECT 'comb', 'reader-' || k, 0 FROM range(5) AS x(k) UNION ALL SELECT 'comb', 'writer', 5 UNION ALL SELECT 'linear', 'process-' || k, (k + 1)::INT FROM range(5) AS x(k) UNION ALL SELECT 'linear', 'reader', 0 UNION ALL SELECT 'linear', 'writer', 6")
+def graph_samples(spark, sf):
+    shapes = {"comb": samples.comb(spark), "linear": samples.linear(spark)}
+    parts = [p.layers().withColumn("shape", F.lit(k)) for k, p in shapes.items()]
+    return parts[0].unionByName(parts[1])
+
+
 # Traces: the events as a log of users' actions.
 
 ACTIONS = ["view", "click", "purchase"]
@@ -387,6 +502,44 @@ def trace_microtraces(spark, sf):
     return rounded(traces.microtrace_stats(rows), "duration_ns_avg", digits=4)
 
 
+@query("SELECT 'task' AS kind, event_type AS action, user_id::VARCHAR AS task, 'w' || event_id % 4 AS worker, NULL::VARCHAR AS dataset, NULL::VARCHAR AS source, NULL::VARCHAR AS target, NULL::VARCHAR AS mode, epoch_us(ts) AS at FROM events")
+def trace_marks(spark, sf):
+    """The events as lines of a log, parsed."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
+    line = F.format_string("noise mark #action=task_%s;task=%d;worker=w%d;at=%s", "event_type", "user_id", F.col("event_id") % 4, at)
+    return traces.marks(_table(spark, sf, "events").select(line.alias("value")), "mark")
+
+
+@query("SELECT event_type AS kind, 1 + event_id % 100 AS duration_ns FROM events")
+def trace_microtrace_lines(spark, sf):
+    line = F.concat(F.lit("noise trace #"), "event_type", F.lit("="), (1 + F.col("event_id") % 100).cast("string"))
+    return traces.microtraces(_table(spark, sf, "events").select(line.alias("value")), "trace")
+
+
+TRANSFERS = """t AS (SELECT user_id::VARCHAR AS dataset, 'h' || event_id % 2 AS target, list_element(['planned', 'started', 'loaded', 'received', 'unloaded', 'completed'], (event_id // 2 % 6 + 1)::INT) AS action, epoch_us(ts) AS x, CASE WHEN event_id // 2 % 6 = 0 THEN event_type END AS m FROM events),
+f AS (SELECT *, max_by(m, (x, m)) FILTER (m IS NOT NULL) OVER (PARTITION BY dataset, target) AS mode FROM t),
+d AS (SELECT dataset, target, mode AS source, mode, min(x) FILTER (action = 'planned') AS p, min(x) FILTER (action = 'started') AS s, min(x) FILTER (action = 'completed') AS c FROM f GROUP BY dataset, target, mode)"""
+
+
+def transfers(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.expr("event_id div 2 % 6")
+    mode = F.when(k == 0, F.col("event_type"))
+    action = F.element_at(F.array(*[F.lit(a) for a in traces.TRANSMIT_ACTIONS]), (k + 1).cast("int"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = _table(spark, sf, "events").select(F.col("user_id").cast("string").alias("dataset"), F.concat(F.lit("h"), (F.col("event_id") % 2).cast("string")).alias("target"), action.alias("action"), at.alias("at"), mode.alias("mode"), mode.alias("source"))
+    return traces.transmit_durations(rows)
+
+
+@query(f"WITH {TRANSFERS} SELECT dataset, target, source, mode, c - p AS total, s - p AS comm2source FROM d")
+def trace_transmits(spark, sf):
+    return transfers(spark, sf).select("dataset", "target", "source", "mode", "total", "comm2source")
+
+
+@query(f"WITH {TRANSFERS} SELECT target, sum(c - p)::BIGINT AS total_sum, round(avg(c - p), 2) AS total_mean, max(c - p) AS total_max FROM d GROUP BY target")
+def trace_summary(spark, sf):
+    return rounded(traces.summary(transfers(spark, sf), ["total"], ["target"]), "total_mean", digits=2)
+
+
 @query(
     """WITH p AS (SELECT user_id, event_id AS key, epoch_us(ts) AS created, CASE WHEN event_type <> 'error' THEN epoch_us(ts) + 1 END AS f, CASE WHEN event_type <> 'error' THEN epoch_us(ts) + 1 + (event_type = 'view')::INT END AS l, 1 + event_id % 7 AS size FROM events),
 c AS (SELECT *, (CASE WHEN f IS NULL THEN 2 WHEN f = l THEN 0 ELSE 1 END)::INT AS class FROM p),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fieldcube import Cube
 from fieldcube import functions as fn
 from fieldcube.operators import ensemble, traces
+from fieldcube.plans import samples
 from fieldcube.plans.graph import Plan
 from fieldcube.plans.jobs import JobBuilder, JobService, Step
 from fieldcube.sources import from_arrays, from_frame, from_parts, generated
@@ -271,3 +272,89 @@ def test_set_metadata(spark):
     assert got == {1: {"b": "3", "c": "2"}, 2: {"b": "3", "c": "3"}}
     new = Cube(df.select("x").withColumn("v", F.lit(1.0)), ["x"]).set_metadata("info", unit="K")
     assert new.values == ["v", "info"] and new.df.first().info == {"unit": "K"}
+
+
+def test_functions_and_parameters_for_each_cell(cube):
+    params = [[float(10 * a + b) for b in range(4)] for a in range(3)]
+    assert np.allclose(array(cube.map_each(lambda v, k: v * k, ["a", "b"], params), "a", "b", "i"), X * np.array(params)[..., None])
+    plus, minus = (lambda v: v + 1), (lambda v: -v)
+    got = array(cube.map_cells([[plus, minus, minus, plus]] * 3, ["a", "b"]), "a", "b", "i")
+    assert np.allclose(got[:, [0, 3]], X[:, [0, 3]] + 1) and np.allclose(got[:, [1, 2]], -X[:, [1, 2]])
+    assert np.allclose(array(cube.map_cells([plus, minus, plus], "a"), "a", "b", "i")[1], -X[1])
+    for bad in ([[plus] * 4] * 2, [[plus] * 3] * 3):
+        with pytest.raises(ValueError):
+            cube.map_cells(bad, ["a", "b"])
+
+
+def test_several_results(cube):
+    def both(x):
+        yield x
+        yield x[::-1]
+
+    y = cube.yields_arrays(both, "s", ["p", "n"])
+    assert y.dims == ["a", "b", "s"] and np.allclose(array(y.select(s="n"), "a", "b", "i"), X[..., ::-1])
+    with pytest.raises(Exception, match="2 results for 3 labels"):
+        cube.yields_arrays(both, "s", [1, 2, 3]).df.collect()
+    r = cube.reduce_yields(["min", lambda v: F.max(v)], "s", ["p", "n"], "b")
+    assert r.dims == ["a", "s"] and np.allclose(array(r.select(s="p"), "a", "i"), X.min(1)) and np.allclose(array(r.select(s="n"), "a", "i"), X.max(1))
+    r = cube.reduce_arrays(lambda x: (x.sum(0), np.median(x, 0)), "b", block=2, yields=("s", ["p", "n"]))
+    assert np.allclose(array(r.select(s="p"), "a", "i"), X.sum(1)) and np.allclose(array(r.select(s="n"), "a", "i"), np.median(X, 1))
+    with pytest.raises(ValueError):
+        cube.reduce_yields(["min"], "s", ["p", "n"], "b")
+
+
+def test_take_by_label_and_expand_beyond_the_end(spark, cube):
+    named = from_frame(spark.createDataFrame([(k, x, float(k)) for k in range(2) for x in "pqr"], "k int, x string, v double"), ["k"], ["x"])
+    assert {r.x for r in named.take("x", ["r", "p"], method="sel").df.collect()} == {"p", "r"}
+    one = named.take("x", "q", method="sel", drop=False)
+    assert one.inner == [] and one.scalars == {"x": "q"} and one.df.count() == 2
+    for bad in ("z", ["p", "z"]):
+        with pytest.raises(KeyError):
+            named.take("x", bad, method="sel")
+    with pytest.raises(ValueError):
+        named.take("x", "q", method="near")
+    with pytest.raises(ValueError):
+        cube.expand("level", "i", size=6)
+    assert cube.expand("level", "i", size=5).df.count() == 60
+
+
+def test_plans_as_dictionaries(spark):
+    for p in (samples.linear(spark, 2), samples.multi(spark, 2, 4, 2), samples.empty(spark)):
+        data = p.serialise()
+        assert Plan.deserialise(spark, data).equals(p)
+    multi = samples.multi(spark, 5, 3, 2).serialise()
+    assert multi["process-1"]["inputs"] == {"input1": ["process-0", "output0"], "input2": ["process-0", "output2"]}
+    assert multi["process-2"] == {"inputs": {"input1": ["process-0", "output1"], "input2": "reader-2"}, "outputs": ["output0", "output1"]}
+    assert not samples.linear(spark, 2).equals(samples.linear(spark, 3))
+    with pytest.raises(KeyError):
+        Plan.deserialise(spark, {"a": {"inputs": {"x": "none"}}})
+    p = samples.linear(spark)
+    assert p.get_node("reader").payload is None
+    for f in (p.get_node, p.predecessors, p.successors):
+        with pytest.raises(KeyError):
+            f("none")
+
+
+def test_sample_plans(spark):
+    def size(p):
+        return p.nodes.count(), p.edges.count(), p.sources().count(), p.sinks().count()
+
+    assert size(samples.empty(spark)) == (0, 0, 0, 0)
+    assert size(samples.linear(spark, 5)) == (7, 6, 1, 1)
+    assert size(samples.disconnected(spark, 5, 1)) == (15, 10, 5, 5) and size(samples.disconnected(spark, 2, 3)) == (10, 8, 2, 2)
+    assert size(samples.simple(spark, 5, 3)) == (11, 18, 5, 3)
+    assert size(samples.multi(spark, 5, 3, 2)) == (10, 5 + 2 + 2 + 4, 5, 2)
+    assert size(samples.comb(spark, 5, 0)) == (10, 9, 5, 1) and size(samples.comb(spark, 3, 2)) == (12, 11, 3, 1)
+    assert {r.name: r.component for r in samples.disconnected(spark, 2, 1).components().collect()}["writer-1"] == "process-1"
+
+
+def test_values(spark):
+    """Of two ways down the shorter counts; each component has a depth of its own."""
+    p = plan(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("x", "y")])
+    assert {r.name: r.value for r in p.values().collect()} == {"a": 3, "b": 2, "c": 3, "d": 4, "e": 4, "x": 1, "y": 2}
+
+
+def test_filled_keeps_rows_of_null_keys(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (1, 3, "b"), (None, 1, "c"), (None, 2, None), (2, 1, None)], "k int, at int, m string")
+    got = sorted(((r.k or 0, r.at, r.m) for r in traces.filled(rows, ["m"], ["k"]).collect()))
+    assert got == [(0, 1, "c"), (0, 2, "c"), (1, 1, "b"), (1, 2, "b"), (1, 3, "b"), (2, 1, None)]
