@@ -62,20 +62,34 @@ class Cube:
         out = self.df.join(F.broadcast(table), F.col(dim) == F.col("__label"))  # bounded by LABEL_LIMIT
         return out.drop("__label", *([name] if name in out.columns else [])).withColumnRenamed("__new", name)
 
-    def _per_cell(self, dims: Sequence[str], entries: Sequence, name: str) -> DataFrame:
-        """``df`` with ``name``: the entry of each cell of ``dims``; ``entries`` is nested as their labels are."""
+    def _per_cell(self, dims: Sequence[str], entries: Sequence | Cube, name: str) -> DataFrame:
+        """``df`` with ``name``: the entry of each cell of ``dims``; ``entries`` is nested as their labels are, or a cube over ``dims``."""
+        if isinstance(entries, Cube):
+            return self._joined_cells(dims, entries, name)
         flat = [entries]
         for d in dims:
             if any(len(x) != len(self.labels(d)) for x in flat):
                 raise ValueError(f"the entries do not match the {len(self.labels(d))} labels of {d}")
             flat = [y for x in flat for y in x]
         if len(flat) > LABEL_LIMIT:
-            raise ValueError(f"more than {LABEL_LIMIT} cells")
+            raise ValueError(f"more than {LABEL_LIMIT} cells; give a cube of them where the method takes one")
         rows = [(*cell, e) for cell, e in zip(product(*(self.labels(d) for d in dims)), flat, strict=True)]
         table = self.df.sparkSession.createDataFrame(rows, [*(f"__{d}" for d in dims), name])
         on = [F.col(d) == F.col(f"__{d}") for d in dims]
         return self.df.join(F.broadcast(table), on).drop(*(f"__{d}" for d in dims))  # bounded by LABEL_LIMIT
 
+    def _joined_cells(self, dims: Sequence[str], entries: Cube, name: str) -> DataFrame:
+        """``df`` with ``name``: the one value that ``entries`` has at each cell's labels, null ones included."""
+        if set(entries.dims) != set(dims) or entries.inner or len(entries.values) != 1:
+            raise ValueError(f"the entries need one value for each cell of {list(dims)}")
+        keys = [f"__{d}" for d in dims]
+        table = entries.df.select(*[F.col(d).alias(k) for d, k in zip(dims, keys, strict=True)], F.col(entries.values[0]).alias(name), F.lit(True).alias("__found"))
+        if not table.groupBy(*keys).count().where(F.col("count") > 1).isEmpty():
+            raise ValueError(f"a cell of {list(dims)} has several entries")
+        df = self.df.join(table, [F.col(d).eqNullSafe(F.col(k)) for d, k in zip(dims, keys, strict=True)], "left")
+        absent = F.raise_error(F.concat_ws(" ", F.lit("no entry for the cell"), *[F.coalesce(F.col(d).cast("string"), F.lit("null")) for d in dims]))
+        return df.withColumn(name, F.when(F.col("__found"), F.col(name)).otherwise(absent)).drop(*keys, "__found")
+
     # Namespaces
 
     @classmethod
@@ -177,8 +191,14 @@ class Cube:
         """A Column expression on each value."""
         return self._new(self.df.withColumns({v: function(F.col(v)) for v in self.values}))
 
-    def map_each(self, function: Callable[[Column, Column], Column], dim: str | Sequence[str], params: Sequence) -> Cube:
-        """A Column expression of the value and of one parameter for each label of ``dim``, or for each cell of several (``params`` nested as they are)."""
+    def map_each(self, function: Callable[[Column, Column], Column], dim: str | Sequence[str], params: Sequence | Cube) -> Cube:
+        """A Column expression of the value and of one parameter for each label of ``dim``, or for each cell of several (``params`` nested as they are).
+
+        ``params`` may be a cube of one value over these dimensions, with any number
+        of cells: it is joined by label and never comes to the driver.  Two parameters
+        for a cell are an error, which a query over the parameters finds out; a cell
+        without one is an error when the result is computed.
+        """
         df = self._per_cell([dim] if isinstance(dim, str) else dim, params, "__param")
         return self._new(df.withColumns({v: function(F.col(v), F.col("__param")) for v in self.values}))
 

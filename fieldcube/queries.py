@@ -36,9 +36,12 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("member"), F.expr("vec_id div 10").alias("step"), "embedding")
+
+
 def ens(spark: SparkSession, sf: str) -> Cube:
-    df = _table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("member"), F.expr("vec_id div 10").alias("step"), "embedding")
-    return from_arrays(df, ["member", "step"], "embedding", coords={"member": list(range(10))})
+    return from_arrays(_vectors(spark, sf), ["member", "step"], "embedding", coords={"member": list(range(10))})
 
 
 def grid(spark: SparkSession, sf: str) -> Cube:
@@ -297,9 +300,10 @@ _binary()
 
 @query(f"{E} SELECT member, step, i, {R('v * (10 * step + member)')} FROM e")
 def map_each_cell(spark, sf):
-    """A parameter for each member and step."""
-    c = ens(spark, sf)
-    return rounded(c.map_each(lambda v, k: v * k, ["member", "step"], [[float(10 * s + m) for s in c.labels("step")] for m in range(10)]))
+    """A parameter for each member and step, as many as there are vectors: a cube of its own, not a list in the driver."""
+    cells = _vectors(spark, sf).select("member", "step").distinct()
+    params = from_frame(cells.withColumn("k", (10 * F.col("step") + F.col("member")).cast("double")), ["member", "step"], [], ["k"])
+    return rounded(ens(spark, sf).map_each(lambda v, k: v * k, ["member", "step"], params))
 
 
 @query(f"{E} SELECT member, step, i, {R('CASE member % 3 WHEN 0 THEN v WHEN 1 THEN -v ELSE v * v END')} FROM e")

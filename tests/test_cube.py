@@ -286,6 +286,29 @@ def test_functions_and_parameters_for_each_cell(cube):
             cube.map_cells(bad, ["a", "b"])
 
 
+def test_parameters_from_a_cube(spark, cube, monkeypatch):
+    """More cells than may come to the driver; null labels; no parameter or two of them are errors."""
+    from fieldcube import cube as module
+
+    monkeypatch.setattr(module, "LABEL_LIMIT", 2)
+    rows = [(b, a, float(10 * a + b)) for a in range(3) for b in range(4)]
+    params = Cube(spark.createDataFrame(rows, "b long, a long, k double"), ["b", "a"], [], ["k"])
+    got = cube.map_each(lambda v, k: v * k, ["a", "b"], params)
+    assert got.df.columns == ["a", "b", "i", "v"] and np.allclose(array(got, "a", "b", "i"), X * (10 * np.arange(3)[:, None] + np.arange(4))[..., None])
+    one = Cube(params.df.where("b = 0").drop("b"), ["a"], [], ["k"])
+    assert np.allclose(array(cube.map_each(lambda v, k: v + k, "a", one), "a", "b", "i"), X + 10 * np.arange(3)[:, None, None])
+    nulls = Cube(spark.createDataFrame([(None, 1.0), (1, 2.0)], "a long, v double"), ["a"])
+    ks = Cube(spark.createDataFrame([(1, None), (None, 5.0)], "a long, k double"), ["a"], [], ["k"])
+    assert {(r.a, r.v) for r in nulls.map_each(lambda v, k: v * k, "a", ks).df.collect()} == {(None, 5.0), (1, None)}
+    with pytest.raises(Exception, match="no entry for the cell 2 3"):
+        cube.map_each(lambda v, k: v * k, ["a", "b"], params._new(params.df.where("a < 2 or b < 3"))).df.collect()
+    with pytest.raises(ValueError, match="several entries"):
+        cube.map_each(lambda v, k: v * k, ["a", "b"], params._new(params.df.union(params.df.limit(1))))
+    for bad in (one, cube):
+        with pytest.raises(ValueError, match="one value for each cell"):
+            cube.map_each(lambda v, k: v * k, ["a", "b"], bad)
+
+
 def test_several_results(cube):
     def both(x):
         yield x
